@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), 200).drop("spans")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
@@ -26,5 +38,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_sharding, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op5_best_fit_packing, op8_sharding, op9_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
