@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
@@ -20,12 +20,37 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 200).drop("spans")
 
 
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return identify(docs, train(docs.where(~held_out & F.col("doc_id").isNotNull())), held_out)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import classify
+
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.sharding import shard_documents
 
@@ -38,5 +63,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op5_best_fit_packing, op8_sharding, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_language_id, op5_best_fit_packing, op6_quality, op7_fingerprints, op8_sharding, op9_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
