@@ -32,6 +32,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(~held_out & F.col("doc_id").isNotNull())), held_out)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), F.coalesce(_remainder(7) == 2, F.lit(False)))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
@@ -63,5 +69,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_language_id, op5_best_fit_packing, op6_quality, op7_fingerprints, op8_sharding, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_language_id, op4_lm_scoring, op5_best_fit_packing, op6_quality, op7_fingerprints, op8_sharding, op9_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
