@@ -69,5 +69,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_language_id, op4_lm_scoring, op5_best_fit_packing, op6_quality, op7_fingerprints, op8_sharding, op9_license_scan)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontamination import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_language_id, op4_lm_scoring, op5_best_fit_packing, op6_quality, op7_fingerprints, op8_sharding, op9_license_scan, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
