@@ -78,19 +78,18 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    masks, free = _masks(b), (1 << len(b)) - 1
-    left, used = [], 0
-    for i, c in enumerate(a):
-        lo = max(0, i - reach)
-        near = masks.get(c, 0) & free & ((1 << (i + reach + 1)) - 1) >> lo << lo
+    masks, free, used, right = _masks(a), (1 << len(a)) - 1, 0, []
+    for j, c in enumerate(b):
+        lo = max(0, j - reach)
+        near = masks.get(c, 0) & free & ((1 << (j + reach + 1)) - 1) >> lo << lo
         if near:
-            bit = near & -near
+            bit = near & -near  # the first of a's free equal characters within reach
             free ^= bit
             used |= bit
-            left.append(c)
-    if not left:
+            right.append(c)
+    if not right:
         return 0.0
-    right = [c for j, c in enumerate(b) if used >> j & 1]
+    left = [c for i, c in enumerate(a) if used >> i & 1]
     m = len(left)
     jaro = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(left, right)) // 2) / m) / 3
     same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(len(a), len(b), 4))
