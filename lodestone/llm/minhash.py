@@ -6,9 +6,9 @@ i - t, so every bin fills after 2 t rounds at the latest. Two sketches agree in
 Jaccard similarity, with the concentration of t independent draws or better.
 
 Documents of equal shingle sets are one class. Classes that agree in all bins of a band share a bucket. Links are
-confirmed on full sets. In a bucket only pivots are compared with the members not yet connected to them, and pivots are
-taken until all members are connected or every unconnected pair has been compared, so a bucket of very many copies costs
-as many comparisons as it has members, and no link between buckets' members is missed.
+confirmed on full sets. A bucket's members are compared with its lead, so a bucket of very many copies costs as many
+comparisons as it has members. What the leads leave unconnected goes on to an exact second round, on the rarest shingles
+of the sets, so that no link between a bucket's members is missed.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import components, dropped, kept, mix, raw, schema_of, signed, space_words
+from lodestone.llm.common import components, dropped, filtered, kept, key_filter, mix, raw, schema_of, signed, space_words
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -104,7 +104,7 @@ PER_SALT = 512
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (pivot, node) whose full sets have at least `percent` of a hundred in common."""
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
+    salts = kept(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")))
     left = pairs.join(sets.select("node", F.col("set").alias("own")), "node").join(salts, "pivot")
     left = left.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).drop("salts")
     right = sets.select(F.col("node").alias("pivot"), F.col("set").alias("other")).join(salts, "pivot")
@@ -114,35 +114,102 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("pivot", "node")
 
 
+def _open_parts(state: DataFrame) -> DataFrame:
+    """(bucket, root, open, p, rank) of the connected parts of a bucket that still have nodes which were no pivots, the one
+    with most of them first; p is the first of them. Only where a bucket has two such parts can it hide a link."""
+    own = F.struct("node", *(c for c in ("n", "most") if c in state.columns))
+    parts = state.groupBy("bucket", "root").agg(F.count_if(~F.col("used")).alias("open"), F.min(F.when(~F.col("used"), own)).alias("p"))
+    by = Window.partitionBy("bucket").orderBy(F.desc("open"), "root")
+    return parts.where("open > 0").withColumn("rank", F.row_number().over(by))
+
+
+def _state(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    state = members.join(roots, "node", "left").join(done.withColumn("used", F.lit(True)), ["bucket", "node"], "left")
+    return state.select(*members.columns, F.coalesce("root", "node").alias("root"), F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, n, most): for each set its first shingles in one order of all, as many as a set that is similar enough
+    cannot miss all of. The order is by how often the sets have them, rarest first, as counted in 2**20 slots. A set whose
+    first common shingle stands in this place can have `most` shingles at most, as those before it are not shared."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 20, np.int64)
+        for batch in batches:
+            counts += np.bincount((batch.column("set").flatten().to_numpy().view(np.uint64) >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+
+    found = sets.select("set").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2**20 rows at most
+    often = np.zeros(1 << 20, np.int64)
+    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    given = sets.sparkSession.sparkContext.broadcast(often)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, sizes, largest = [], [], [], []
+            for node, items in zip(batch.column("node").to_pylist(), batch.column("set")):
+                x = items.values.to_numpy()
+                n = len(x)
+                most = n - -(-percent * n // 100) + 1
+                order = np.lexsort((x, given.value[(x.view(np.uint64) >> np.uint64(44)).astype(np.int64)]))[:most]
+                keys.append(x[order])
+                nodes.append(np.full(most, node))
+                sizes.append(np.full(most, n))
+                # n - i shingles are left at place i, and percent / (100 + percent) of both sizes must be common
+                largest.append((n - np.arange(most)) * (100 + percent) // percent - n)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, nodes, sizes, largest)], ["bucket", "node", "n", "most"])
+
+    return sets.mapInArrow(firsts, "bucket long, node long, n long, most long")
+
+
+def _shared(cells: DataFrame) -> DataFrame:
+    """The rows of cells (bucket, node, n, ...) whose bucket has another node."""
+    return cells.join(kept(cells.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")), "bucket")
+
+
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the nodes that have links. members: bucket, node, n; a node's n is its set's size."""
+    """(node, root) of the nodes that have links. members: bucket, node, n; a node's n is its set's size.
+
+    First the lead of each bucket is compared with all others. Where members stay unconnected and were not compared, all
+    nodes of the bucket go on to a second, exact round over cells: sets that are similar enough share one of their rare
+    shingles. There pivots of all connected parts but the largest are compared with the other parts, until none is left.
+    """
     fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     lead = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    done = kept(lead.select("bucket", F.col("pivot").alias("node")))
-    pairs = members.join(lead, "bucket").where("node <> pivot").where(fits).select("pivot", "node").distinct()
-    tried = kept(pairs)
+    lead = kept(lead)
+    tried = kept(members.join(lead, "bucket").where("node <> pivot").where(fits).select("pivot", "node").distinct())
     links = kept(_confirmed(tried, sets, percent))
+    roots = kept(components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
+    state = _state(members, roots, lead.select("bucket", F.col("pivot").alias("node")))
+    hiding = _open_parts(state).where("rank = 2").select("bucket")
+    nodes = kept(members.join(hiding, "bucket", "left_semi").select("node").distinct())
+    if nodes.isEmpty():
+        return roots
+    cells = kept(_rare(sets.join(nodes, "node", "left_semi"), percent))
+    least = cells.groupBy("bucket").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1").select("bucket", "least")
+    cells = kept(_shared(kept(cells.join(kept(least), "bucket").where("most >= least").drop("least"))))
+    fits = fits & (F.col("n") <= F.col("pivot_most")) & (F.col("pivot_n") <= F.col("most"))
+    done = kept(cells.select("bucket", "node").limit(0))
     step = 0
     while True:
         step += 1
-        roots = kept(components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
-        state = members.join(roots, "node", "left").join(done.withColumn("used", F.lit(True)), ["bucket", "node"], "left")
-        state = state.select("bucket", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("used", F.lit(False)).alias("used"))
-        parts = state.groupBy("bucket", "root").agg(F.count_if(~F.col("used")).alias("open"), F.min(F.when(~F.col("used"), F.struct("node", "n"))).alias("p"))
-        by = Window.partitionBy("bucket").orderBy(F.desc("open"), "root")
-        parts = parts.where("open > 0").withColumn("rank", F.row_number().over(by)).where("rank > 1")  # of the largest part none need be a pivot
-        parts = parts.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy("open", "root"))).where(F.col("turn") <= 2 ** min(step, 30))
-        pivots = kept(parts.select("bucket", F.col("root").alias("pivot_root"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
+        state = kept(_state(cells, roots, done))
+        parts = _open_parts(state).where("rank > 1").withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy("open", "root"))).where(F.col("turn") <= 4 ** min(step, 15))
+        pivots = kept(parts.select("bucket", F.col("root").alias("pivot_root"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.most").alias("pivot_most")))
         if pivots.isEmpty():
             return roots
         pairs = state.join(pivots, "bucket").where("root <> pivot_root").where(fits)
-        pairs = kept(pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+        pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         seen = tried.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
         fresh = kept(pairs.join(seen, ["a", "b"], "left_anti").select(F.col("a").alias("pivot"), F.col("b").alias("node")))
-        tried = tried.union(fresh)
-        links = links.union(kept(_confirmed(fresh, sets, percent)))
-        done = done.union(pivots.select("bucket", F.col("pivot").alias("node")))
-        dropped(roots.sparkSession, roots)
+        found = kept(_confirmed(fresh, sets, percent))
+        tried, done = tried.union(fresh), done.union(pivots.select("bucket", F.col("pivot").alias("node")))
+        dropped(roots.sparkSession, state)
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = kept(components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 180) -> DataFrame:
@@ -160,10 +227,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     classes = linked.groupBy("_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("_bands").alias("_bands"))
     classes = kept(classes.withColumn("node", F.monotonically_increasing_id()))
     cells = classes.select("node", "n", F.explode("_bands").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = kept(cells.join(shared, "bucket"))
-    nodes = classes.join(members.select("node").distinct(), "node", "left_semi").select("_key", "doc", "node")
-    chosen = docs.join(nodes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = kept(_shared(cells))
+    nodes = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("_key", "doc", "node"))
+    mark = F.xxhash64("doc_id").alias("_mark")
+    chosen = filtered(docs.select("doc_id", mark, "text"), "_mark", key_filter(nodes.select(F.xxhash64("doc"))))
+    chosen = chosen.join(nodes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = chosen.mapInArrow(_sets(words), "_key binary, set array<long>").join(nodes, "_key").select("node", "set")
     roots = _links(members, kept(sets), percent)
     named = classes.select("_key", "doc", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -173,3 +241,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 180) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the smallest by doc_id and hash of the text, and one row of
+    those that are equal in both. All columns stay. Only documents that may go are moved."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    near = kept(near_duplicates(docs.select(key.alias("doc_id"), "text"), words, percent, bins).select("doc_id", "kept"))
+    lost = near.where(~F.col("kept")).select("doc_id").distinct()
+    twice = near.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    may_go = key_filter(lost.union(twice).select("doc_id.text"))
+    own = docs.withColumn("_text", F.xxhash64("text"))
+    clear = filtered(own, "_text", lambda x: ~may_go(x)).drop("_text")
+    lost = lost.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_key"))
+    rest = filtered(own, "_text", may_go)
+    rest = rest.join(lost, rest["doc_id"].eqNullSafe(lost["_id"]) & (rest["_text"] == lost["_key"]), "left_anti")
+    return clear.union(rest.dropDuplicates(["doc_id", "_text"]).drop("_text"))
