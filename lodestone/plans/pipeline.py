@@ -15,6 +15,7 @@ from lodestone.operators.blocking import generate_candidates
 from lodestone.plans.config import Config, Paths
 from lodestone.sources import tsv
 from lodestone.sources.cache import load_source
+from lodestone.sources.shared import kept as settled
 
 
 @dataclass
@@ -27,15 +28,15 @@ class Split:
 
 
 def split_of(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: DataFrame | None = None, sample_s1: int | None = None, seed: int = 42) -> Split:
-    """Normalized sources, and the ground truth, as one split; with sample_s1, that many S1 records and all targets."""
-    targets = s2.withColumn("source", F.lit("S2")).unionByName(s3.withColumn("source", F.lit("S3")))
-    if sample_s1 is not None:
-        s1 = links.sample_records(s1, sample_s1, seed)
+    """Normalized sources, and the ground truth, as one split; with sample_s1, that many S1 records and all targets.
+    Records are kept once, as all later stages read them."""
+    targets = settled(s2.withColumn("source", F.lit("S2")).unionByName(s3.withColumn("source", F.lit("S3"))))
+    s1 = settled(s1 if sample_s1 is None else links.sample_records(s1, sample_s1, seed))
     if truth is None:
         return Split(s1, targets)
     own = links.resolve_links(links.ground_truth_links(truth), s1, targets)
     counts = s1.select(F.col("entity_id").alias("s1_id")).join(links.true_counts(own), "s1_id", "left").select("s1_id", F.coalesce("n_true", F.lit(0)).alias("n_true"))
-    return Split(s1, targets, links.true_pairs(own), counts, own)
+    return Split(s1, targets, settled(links.true_pairs(own)), settled(counts), own)
 
 
 def load_split(spark: SparkSession, paths: Paths, split: str, config: Config, sample_s1: int | None = None, use_cache: bool = True) -> Split:
@@ -47,21 +48,21 @@ def load_split(spark: SparkSession, paths: Paths, split: str, config: Config, sa
 def build_candidates(split: Split, config: Config, pruner: Model | None = None) -> tuple[DataFrame, Model | None]:
     """Pruned candidate pairs with pruner_prob (and label), and the pruner. Without a pruner, out-of-fold pruners score
     the pairs and one is fitted on all of them for other splits."""
-    pairs = generate_candidates(split.s1, split.targets, config.top_k, config.max_df, config.by_country)
+    pairs = settled(generate_candidates(split.s1, split.targets, config.top_k, config.max_df, config.by_country))
     rows, names = features.pruner_features(pairs, split.s1, split.targets)
     if pruner is None:
-        rows = links.labelled(rows, split.truth).cache()
+        rows = settled(links.labelled(rows, split.truth))
         scored, _ = model.out_of_fold(rows, names, config.pruner, config.prune_folds, "pruner_prob", config.seed)
         pruner = model.fit(model.training_rows(rows, seed=config.seed), names, config.pruner)
     else:
         scored = model.scored(rows, names, pruner, "pruner_prob")
     keep = [c for c in scored.columns if c not in {n for n, _, _ in features.PRUNER_STRINGS} | {"n_blockers"}]
-    return decide.prune(scored.select(*keep), "pruner_prob", config.prune_top_n, config.prune_min_prob).cache(), pruner
+    return settled(decide.prune(scored.select(*keep), "pruner_prob", config.prune_top_n, config.prune_min_prob)), pruner
 
 
 def matcher_rows(pairs: DataFrame, split: Split, config: Config) -> tuple[DataFrame, list[str]]:
     rows, names = features.build_features(pairs, split.s1, split.targets, config.groups)
-    return rows.cache(), names
+    return settled(rows), names
 
 
 def _tuning(config: Config) -> dict:
@@ -85,8 +86,8 @@ def run_validate(split: Split, config: Config, error_path: str | None = None) ->
     rows, names = matcher_rows(pairs, split, config)
     rest, held = links.holdout_split(split.s1, config.holdout, config.seed)
     dev = rows.join(rest, "s1_id", "left_semi")
-    matcher, threshold, oof, _ = model.fit_matcher(dev, names, split.truth_counts.join(rest, "s1_id", "left_semi"), config.matcher, config.match_folds, **_tuning(config))
-    scored = model.scored(rows.join(held, "s1_id", "left_semi"), names, matcher).cache()
+    matcher, threshold, oof, _ = model.fit_matcher(dev, names, split.truth_counts.join(rest, "s1_id", "left_semi"), config.matcher, config.match_folds, settled, **_tuning(config))
+    scored = settled(model.scored(rows.join(held, "s1_id", "left_semi"), names, matcher))
     kept = _kept(scored, threshold, config)
     counts = split.truth_counts.join(held, "s1_id", "left_semi")
     countries = split.s1.select(F.col("entity_id").alias("s1_id"), "country_norm")
@@ -116,8 +117,8 @@ def run_loco(split: Split, config: Config) -> dict:
         ids = split.s1.where(F.col("country_norm") == country).select(F.col("entity_id").alias("s1_id"))
         dev, held = rows.join(ids, "s1_id", "left_anti"), rows.join(ids, "s1_id", "left_semi")
         counts = split.truth_counts.join(ids, "s1_id", "left_semi")
-        matcher, threshold, _, _ = model.fit_matcher(dev, names, split.truth_counts.join(ids, "s1_id", "left_anti"), config.matcher, config.match_folds, **_tuning(config))
-        scored = model.scored(held, names, matcher).cache()
+        matcher, threshold, _, _ = model.fit_matcher(dev, names, split.truth_counts.join(ids, "s1_id", "left_anti"), config.matcher, config.match_folds, settled, **_tuning(config))
+        scored = settled(model.scored(held, names, matcher))
         best, best_value = decide.tune_threshold(scored, counts, **_tuning(config))
         out[country] = metrics.evaluate_rows(_kept(scored, threshold, config), scored, counts).first().asDict() | {"threshold": threshold, "best_threshold": best, "best_macro_f05": best_value}
     return {"countries": out}
@@ -127,7 +128,7 @@ def run_test(train: Split, test: Split, config: Config, paths: Paths | None = No
     """Fits on the train split, decides on the test split, writes and checks both outputs. Raises where a check fails."""
     pairs, pruner = build_candidates(train, config)
     rows, names = matcher_rows(pairs, train, config)
-    matcher, threshold, oof, _ = model.fit_matcher(rows, names, train.truth_counts, config.matcher, config.match_folds, **_tuning(config))
+    matcher, threshold, oof, _ = model.fit_matcher(rows, names, train.truth_counts, config.matcher, config.match_folds, settled, **_tuning(config))
     if paths:
         model.save_model(pruner, f"{paths.model}/pruner")
         model.save_model(matcher, f"{paths.model}/matcher")
@@ -135,7 +136,7 @@ def run_test(train: Split, test: Split, config: Config, paths: Paths | None = No
     test_rows, test_names = matcher_rows(test_pairs, test, config)
     if test_names != names:
         raise ValueError("train and test features differ")
-    scored = model.scored(test_rows, names, matcher).cache()
+    scored = settled(model.scored(test_rows, names, matcher))
     kept = _kept(scored, threshold, config)
     matching, candidates = links.id_lists(test.s1, kept, [-F.col("score")]), links.id_lists(test.s1, scored, [-F.col("pruner_prob")])
     problems = validate.validate_outputs(matching, candidates, test.s1, test.targets)

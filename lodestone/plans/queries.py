@@ -10,6 +10,7 @@ from lodestone.functions import text as T
 from lodestone.operators import blocking, decide, features, links, metrics, model, profile, tfidf, validate
 from lodestone.operators.normalize import NORMALIZED_COLUMNS
 from lodestone.sources import records as R
+from lodestone.sources.shared import kept
 
 #: Targets that a term may be in at most, and candidates per blocker and source.
 MAX_DF, TOP_K = 50, 5
@@ -135,7 +136,7 @@ def _with(*parts: str) -> str:
 
 
 def _pairs(s1: DataFrame, tg: DataFrame) -> DataFrame:
-    return blocking.generate_candidates(s1, tg, TOP_K, MAX_DF)
+    return kept(blocking.generate_candidates(s1, tg, TOP_K, MAX_DF))
 
 
 def _scored(s1: DataFrame, tg: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.normalize import normalize_records
+from lodestone.sources.shared import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,8 @@ def document_records(docs: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Normalized (S1, S2 and S3) records."""
-    own = normalize_records(document_records(table(spark, sf_dir, "documents")))
+    """Normalized (S1, S2 and S3) records; kept once, as a plan reads them many times."""
+    own = kept(normalize_records(document_records(table(spark, sf_dir, "documents"))))
     return own.where("source = 'S1'"), own.where("source <> 'S1'")
 
 
