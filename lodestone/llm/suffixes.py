@@ -1,8 +1,8 @@
 """Repeated byte strings across documents, found by suffix arrays over the places where copies can be.
 
-1. Anchors. Of the 32-byte strings inside a window of `length` bytes the one with the smallest hash (all of them on a tie)
-   is an anchor. Equal windows have equal anchors at equal offsets, so every repeated window is seen among the
-   occurrences of one anchor, each with its context: the bytes that windows around it can reach.
+1. Anchors. Of the 32-byte strings inside a window of `length` bytes the one with the smallest hash, the last on a tie, is
+   its anchor. Equal windows have equal anchors at equal offsets, so every repeated window is seen among the occurrences
+   of one anchor, each with its context: the bytes of the windows that have it as their anchor.
 2. Anchors seen once are dropped. Where all contexts of an anchor are equal, they are repeated as a whole.
 3. The distinct contexts of each other anchor are cut to what they can share, their common core becomes one symbol, and a
    generalised suffix array of them gives the longest match of every suffix. It is built by Lyndon grouping: groups of
@@ -26,14 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept, mix, raw, schema_of, signed
+from lodestone.llm.common import filtered, kept, key_filter, mix, raw, schema_of, signed
 
 GRAM = 32
-#: Distinct contexts that one suffix array may hold.
-HOT = 2048
+#: Distinct contexts that one suffix array may hold; at 200 bytes a string they make 1.5 million symbols, some 300 MB, at worst.
+HOT = 4096
 #: Bytes of a document that are hashed at a time.
-SEGMENT = 1 << 20
-_BITS = 26
+SEGMENT = 1 << 19
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -163,23 +162,21 @@ def shared_spans(contexts: list[tuple[int, bytes]], length: int) -> list[list[tu
 
 
 def anchors(text: np.ndarray, length: int) -> np.ndarray:
-    """Positions of the anchors of all windows of `length` bytes."""
+    """Rows of the anchors: position, hash of the gram there, first window that has it as its anchor, end of the last one."""
     w, found = length - GRAM + 1, []
+    low = np.uint64((1 << 20) - 1)
     for a in range(0, max(len(text) - length + 1, 0), SEGMENT):
         x = text[a : a + SEGMENT + length - 1].astype(np.uint64)
-        power = np.uint64(0x9E3779B97F4A7C15)
         for step in (1, 2, 4, 8, 16):
-            x = x[:-step] * power + x[step:]
-            power = power * power
+            x = x[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 1 << 64)) + x[step:]
         h = mix(x)
-        least = _sliding(h, w, np.minimum)
-        edge = np.zeros(w - 1, np.uint64)
-        most = _sliding(np.concatenate((edge, least, edge)), w, np.maximum)
-        at = np.flatnonzero(h == most)
-        found.append(np.stack((at + a, h[at].view(np.int64))))
-    if not found:
-        return np.empty((2, 0), np.int64)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found, 1), axis=1)
+        least = _sliding(h & ~low | low - np.arange(len(h), dtype=np.uint64), w, np.minimum)
+        at = (low - (least & low)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        last = np.append(first[1:], len(at)) - 1
+        at = at[first]
+        found.append(np.stack((at + a, h[at].view(np.int64), first + a, last + a + length)))
+    return np.concatenate(found, 1) if found else np.empty((4, 0), np.int64)
 
 
 def _sliding(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
@@ -190,16 +187,13 @@ def _sliding(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
 
 
 def _anchored(length: int):
-    left = length - GRAM
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at, gram, own, before, behind = [], [], [], [], [], []
             for i, text in enumerate(raw(batch.column("text"))):
                 if not text or len(text) < length:
                     continue
-                p, h = anchors(np.frombuffer(text, np.uint8), length)
-                lo, hi = np.maximum(p - left, 0), np.minimum(p + length, len(text))
+                p, h, lo, hi = anchors(np.frombuffer(text, np.uint8), length)
                 rows.append(np.full(len(p), i))
                 at.append(p)
                 gram.append(h)
@@ -210,46 +204,13 @@ def _anchored(length: int):
                 continue
             take = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("_text").take(take), *(pa.array(np.concatenate(x), t) for x, t in ((at, pa.int64()), (before, pa.int32()), (behind, pa.int32()), (gram, pa.int64()))), pa.array(signed(np.array(own, np.uint64)))],
+                [batch.column("doc_id").take(take), batch.column("_text").take(take), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((at, np.int64), (before, np.int32), (behind, np.int32), (gram, np.int64))), pa.array(signed(np.array(own, np.uint64)))],
                 ["doc_id", "_text", "at", "before", "behind", "gram", "own"],
             )
 
     return run
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return mix(keys.view(np.uint64)) >> np.uint64(64 - _BITS)
-
-
-def key_filter(keys: DataFrame):
-    """A function of int64 arrays that is true where a key may be among those of the one column of keys. 8 MB at any size."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.unique(_bit(batch.column(0).to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int32)), pa.array(signed(np.uint64(1) << (bits & np.uint64(63))))], ["word", "bits"])
-
-    spark = keys.sparkSession
-    found = keys.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2**20 rows at most
-    bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
-    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    held = spark.sparkContext.broadcast(bitmap)
-
-    def may_have(x: np.ndarray) -> np.ndarray:
-        bits = _bit(np.ascontiguousarray(x))
-        return (held.value[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
-
-    return may_have
-
-
-def _filtered(df: DataFrame, column: str, may_have) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_have(batch.column(column).to_numpy())))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def _contexts(length: int):
     """(gram, own, before, context) of each place wanted of a document."""
 
@@ -330,27 +291,28 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     schema = schema_of(docs, "_text long, at long, before int, behind int, gram long, own long")
     found = kept(docs.mapInArrow(_anchored(length), schema))
     twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    near = kept(_filtered(found, "gram", key_filter(twice)))
-    kinds = near.groupBy("gram").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
+    near = kept(filtered(found, "gram", key_filter(twice)))
+    kinds = kept(near.groupBy("gram").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))  # a table of its own, so that a join on it can split hot grams
     near = kept(near.join(kinds, "gram"))
     whole = (F.col("at") - F.col("before")).alias("lo"), (F.col("at") + F.col("behind")).alias("hi")
-    alike = near.where(~F.col("mixed")).where(F.col("before") + F.col("behind") >= length).select("doc_id", "_text", *whole)
+    alike = near.where(~F.col("mixed")).select("doc_id", "_text", *whole)
     mixed = near.where("mixed").drop("mixed")
     first = F.min(F.struct("doc_id", "_text", "at", "before", "behind")).alias("f")
     owns = kept(mixed.groupBy("gram", "own").agg(F.count("*").alias("n"), first))
     wanted = owns.groupBy(F.col("f.doc_id").alias("_id"), F.col("f._text").alias("_key")).agg(F.collect_list(F.struct("gram", "own", "f.at", "f.before", "f.behind")).alias("wanted"))
     wanted = kept(wanted)
-    texts = _filtered(docs, "_text", key_filter(wanted.select("_key")))
+    texts = filtered(docs, "_text", key_filter(wanted.select("_key")))
     texts = texts.join(wanted, _same(texts, wanted)).select("text", "wanted")
     contexts = kept(texts.mapInArrow(_contexts(length), "gram long, own long, before int, context binary"))
     many = owns.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram")
     few = contexts.join(many, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "own")
     spans = few.mapInArrow(_spanned(length), "gram long, own long, lo int, hi int")
-    windows = contexts.join(many, "gram", "left_semi").mapInArrow(_windows(length), "gram long, own long, lo int, window binary").distinct()
+    windows = contexts.join(many, "gram", "left_semi").mapInArrow(_windows(length), "gram long, own long, lo int, window binary")
+    windows = kept(windows.distinct())
     again = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
     spans = spans.union(windows.join(again, ["gram", "window"]).select("gram", "own", "lo", (F.col("lo") + length).cast("int").alias("hi")))
-    copies = owns.where("n > 1").where(F.col("f.before") + F.col("f.behind") >= length).select("gram", "own", F.lit(0).alias("lo"), (F.col("f.before") + F.col("f.behind")).alias("hi"))
-    spans = spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    copies = owns.where("n > 1").select("gram", "own", F.lit(0).alias("lo"), (F.col("f.before") + F.col("f.behind")).alias("hi"))
+    spans = kept(spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     base = F.col("at") - F.col("before")
     apart = mixed.join(spans, ["gram", "own"]).select("doc_id", "_text", base.alias("base"), F.explode("spans").alias("s"))
     apart = apart.select("doc_id", "_text", (F.col("base") + F.col("s.lo")).alias("lo"), (F.col("base") + F.col("s.hi")).alias("hi"))
@@ -381,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     sums = docs.select("doc_id", "_text", F.octet_length(utf8).cast("long").alias("n_bytes"), F.sha2(utf8, 256).alias("digest"))
     clean = sums.join(spans, _same(sums, spans), "left_anti")
     clean = clean.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.array().cast("array<struct<lo:long,hi:long>>").alias("spans"))
-    hit = _filtered(docs, "_text", may_have)
+    hit = filtered(docs, "_text", may_have)
     hit = hit.join(spans, _same(hit, spans)).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,9 +361,12 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated bytes taken out of text, all other columns as they are; a removed run is narrowed to whole
     code points. n_chars, where there is such a column, becomes the new text's."""
-    spans = repeated_spans(docs, length)
+    spans = kept(repeated_spans(docs, length))
+    may_have = key_filter(spans.select("_key"))
     own = docs.withColumn("_text", F.xxhash64("text"))
-    joined = own.join(spans, _same(own, spans), "left").drop("_id", "_key", "_text")
+    clean = filtered(own, "_text", lambda x: ~may_have(x)).drop("_text")
+    hit = filtered(own, "_text", may_have)
+    joined = hit.join(spans, _same(hit, spans), "left").drop("_id", "_key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,5 +383,5 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)).drop_columns(["spans"])
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = clean.union(joined.mapInArrow(run, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
