@@ -251,9 +251,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bins: int =
     lost = near.where(~F.col("kept")).select("doc_id").distinct()
     twice = near.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     may_go = key_filter(lost.union(twice).select("doc_id.text"))
-    own = docs.withColumn("_text", F.xxhash64("text"))
-    clear = filtered(own, "_text", lambda x: ~may_go(x)).drop("_text")
-    lost = lost.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_key"))
-    rest = filtered(own, "_text", may_go)
-    rest = rest.join(lost, rest["doc_id"].eqNullSafe(lost["_id"]) & (rest["_text"] == lost["_key"]), "left_anti")
-    return clear.union(rest.dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    name = "__lodestone_hash"
+    own = docs.withColumn(name, F.xxhash64("text"))
+    clear = filtered(own, name, lambda x: ~may_go(x)).drop(name)
+    lost = lost.select(F.col("doc_id.doc_id").alias("_lost_id"), F.col("doc_id.text").alias("_lost_text"))
+    rest = filtered(own, name, may_go)
+    rest = rest.join(lost, rest["doc_id"].eqNullSafe(lost["_lost_id"]) & (rest[name] == lost["_lost_text"]), "left_anti")
+    return clear.union(rest.dropDuplicates(["doc_id", name]).drop(name))

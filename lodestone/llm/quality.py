@@ -174,10 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     return fit(x[kinds == 1], x[kinds == 0], prior)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a column quality_score, 0 to 1, of the whole text; null texts count as empty; 0.5 without a model."""
+def scored(docs: DataFrame, model: Model | None, to: str = "quality_score") -> DataFrame:
+    """docs with a column `to`, 0 to 1, of the whole text; null texts count as empty; 0.5 without a model."""
     given = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores = given.value.scores(np.stack([features(t or b"") for t in raw(batch.column("text"))]))
             else:
                 scores = np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, to])
 
     return docs.mapInArrow(run, schema)
 

@@ -35,6 +35,10 @@ HOT = 4096
 SEGMENT = 1 << 19
 
 
+#: Names of columns added for a while to tables that keep all of theirs.
+_HASH, _SPANS = "__lodestone_hash", "__lodestone_spans"
+
+
 def suffix_array(symbols: list[int]) -> list[int]:
     """Starts of the suffixes in ascending order; symbols are integers of any size."""
     n = len(symbols) + 1  # with an end symbol below all others
@@ -363,15 +367,16 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     code points. n_chars, where there is such a column, becomes the new text's."""
     spans = kept(repeated_spans(docs, length))
     may_have = key_filter(spans.select("_key"))
-    own = docs.withColumn("_text", F.xxhash64("text"))
-    clean = filtered(own, "_text", lambda x: ~may_have(x)).drop("_text")
-    hit = filtered(own, "_text", may_have)
-    joined = hit.join(spans, _same(hit, spans), "left").drop("_id", "_key", "_text")
+    own = docs.withColumn(_HASH, F.xxhash64("text"))
+    clean = filtered(own, _HASH, lambda x: ~may_have(x)).drop(_HASH)
+    hit = filtered(own, _HASH, may_have)
+    same = hit["doc_id"].eqNullSafe(spans["_id"]) & (hit[_HASH] == spans["_key"])
+    joined = hit.join(spans, same, "left").select(*(hit[c] for c in docs.columns), spans["spans"].alias(_SPANS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, found in zip(raw(batch.column("text")), batch.column("spans")):
+            for text, found in zip(raw(batch.column("text")), batch.column(_SPANS)):
                 if found.is_valid:
                     for a, b in reversed(_merged([(s["lo"], s["hi"]) for s in found.as_py()])):
                         while a < b and text[a] & 0xC0 == 0x80:
@@ -381,7 +386,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                         text = text[:a] + text[b:]
                 texts.append(text)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)).drop_columns(["spans"])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)).drop_columns([_SPANS])
 
     out = clean.union(joined.mapInArrow(run, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
