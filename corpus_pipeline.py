@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept, table
 from lodestone.llm.decontamination import decontaminated
@@ -23,7 +24,8 @@ QUALITY = 0.3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier trained on the labels doesn't reject. A null text is judged as an empty one."""
-    return scored(docs, train(docs, table(spark, sf_dir, "labels"))).where(f"quality_score >= {QUALITY}").drop("quality_score")
+    name = "__lodestone_quality"  # no column of docs
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")), name).where(F.col(name) >= QUALITY).drop(name)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
