@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lodestone.functions.similarity import dot
@@ -13,25 +18,27 @@ from lodestone.operators.tfidf import tfidf
 
 #: Bits of the blockers in a pair's mask.
 BLOCKER_BITS = {"name": 1, "combined": 2, "embedding": 4}
-EVERY = "*"
+#: Blocks of all targets that have a country, and of those that have none; no normalized country is one of these marks.
+EVERY, NONE = "*", "?"
+SOURCES = ("S2", "S3")
 
 
-def country_blocks(s1: DataFrame, targets: DataFrame, by_country: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(s1_id, source, block) and (tgt_id, source, block): equal source and block mean that a pair may be compared.
+def country_blocks(s1: DataFrame, targets: DataFrame, by_country: bool = True, sources: tuple[str, ...] = SOURCES) -> tuple[DataFrame, DataFrame]:
+    """(s1_id, source, block) and (tgt_id, source, block): a pair that may be compared has one source and block in common.
 
     An S1 record without a country, or with one that no target of the source has, is compared with all of its targets; a
-    target without one with all S1 records. The joins are on equality; only the countries that occur are broadcast.
+    target without one with all S1 records. The one join is on source and country; either side has two rows a record at
+    most, whatever the number of countries.
     """
-    a = s1.select(F.col("entity_id").alias("s1_id"), F.col("country_norm").alias("country"))
+    a = s1.select(F.col("entity_id").alias("s1_id"), F.col("country_norm").alias("country"), F.explode(F.array(*map(F.lit, sources))).alias("source"))
     b = targets.select(F.col("entity_id").alias("tgt_id"), "source", F.col("country_norm").alias("country"))
-    sources = b.groupBy("source").agg(F.collect_set(F.when(F.col("country") != "", F.col("country"))).alias("countries"))
     if not by_country:
-        return a.crossJoin(F.broadcast(sources.select("source"))).select("s1_id", "source", F.lit(EVERY).alias("block")), b.select("tgt_id", "source", F.lit(EVERY).alias("block"))
-    there = F.array_contains("countries", F.col("country"))
-    left = a.crossJoin(F.broadcast(sources)).select("s1_id", "source", F.when(there, F.col("country")).otherwise(F.lit(EVERY)).alias("block"))
-    own = F.when(F.col("country") != "", F.array(F.col("country"), F.lit(EVERY))).otherwise(F.concat(F.col("countries"), F.array(F.lit(EVERY))))
-    right = b.join(F.broadcast(sources), "source").select("tgt_id", "source", F.explode(own).alias("block"))
-    return left, right
+        return a.select("s1_id", "source", F.lit(EVERY).alias("block")), b.select("tgt_id", "source", F.lit(EVERY).alias("block"))
+    there = b.where("country <> ''").select("source", "country").distinct().withColumn("there", F.lit(True))
+    own = F.when(F.col("there"), F.col("country")).otherwise(F.lit(EVERY))
+    left = a.join(there, ["source", "country"], "left").select("s1_id", "source", F.explode(F.array(own, F.lit(NONE))).alias("block"))
+    own = F.when(F.col("country") != "", F.array(F.col("country"), F.lit(EVERY))).otherwise(F.array(F.lit(NONE)))
+    return left, b.select("tgt_id", "source", F.explode(own).alias("block"))
 
 
 def scored_pairs(s1: DataFrame, targets: DataFrame, blocker: str, max_df: int = 2000, by_country: bool = True) -> DataFrame:
@@ -55,14 +62,50 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", group_rank(["s1_id", "source"], F.col("score"), ["tgt_id"])).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """(s1_id, tgt_id, source, score, rank): the k nearest targets by dot product, without a lower bound.
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 8192
 
-    queries: s1_id, source, block, vector; targets: tgt_id, source, block, vector. Exact: a query meets all targets of its
-    block, and partial top-k lists are cut before the shuffle.
+
+def dense_top_k(queries: DataFrame, targets: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(s1_id, tgt_id, source, score, rank): the k nearest targets by dot product, to six decimals, without a lower bound.
+
+    queries: s1_id, source, block, vector; targets: tgt_id, source, block, vector; a pair has one source and block in
+    common. Exact: blocks of queries are set against all targets where those are read, as products of matrices, and only
+    each task's k best of a query are shuffled.
     """
-    both = queries.join(targets.withColumnRenamed("vector", "other"), ["source", "block"])
-    return top_k(both.select("s1_id", "tgt_id", "source", F.round(dot(F.col("vector"), F.col("other")), 6).alias("score")), k)
+    spark = queries.sparkSession
+    parts = max(1, -(-queries.count() // query_block))
+    fields = queries.schema["s1_id"], targets.schema["tgt_id"], targets.schema["source"]
+    schema = StructType([*fields, StructField("score", DoubleType())])
+    out = None
+    for i in range(parts):
+        own = queries.where(F.pmod(F.xxhash64("s1_id", "source", "block"), F.lit(parts)) == i).select("s1_id", "source", "block", "vector").toArrow().to_pydict()
+        groups: dict[tuple, tuple[list, np.ndarray]] = {}
+        for key in set(zip(own["source"], own["block"])):
+            at = [j for j, x in enumerate(zip(own["source"], own["block"])) if x == key]
+            groups[key] = [own["s1_id"][j] for j in at], np.array([own["vector"][j] for j in at], np.float64)
+        given = spark.sparkContext.broadcast(groups)
+
+        def nearest(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple, list[tuple]] = {}
+            for batch in batches:
+                ids, vectors = batch.column("tgt_id").to_pylist(), batch.column("vector")
+                keys = list(zip(batch.column("source").to_pylist(), batch.column("block").to_pylist()))
+                for key in set(keys) & set(given.value):
+                    at = [j for j, x in enumerate(keys) if x == key]
+                    names, q = given.value[key]
+                    scores = np.round(q @ np.array([vectors[j].as_py() for j in at], np.float64).T, 6)
+                    few = min(k, len(at))
+                    cut = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
+                    for row, name in enumerate(names):
+                        found = best.get((name, key[0]), []) + [(-scores[row, c], ids[at[c]]) for c in np.flatnonzero(scores[row] >= cut[row]).tolist()]
+                        best[name, key[0]] = sorted(found)[:k]
+            rows = [(s, t, source, -v) for (s, source), found in best.items() for v, t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, to_arrow_schema(schema).types)], ["s1_id", "tgt_id", "source", "score"])
+
+        found = targets.select("tgt_id", "source", "block", "vector").mapInArrow(nearest, schema)
+        out = found if out is None else out.union(found)
+    return top_k(out, k)
 
 
 def union_candidates(tops: dict[str, DataFrame], scores: dict[str, DataFrame], k: int) -> DataFrame:

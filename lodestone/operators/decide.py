@@ -80,15 +80,12 @@ def threshold_sweep(pairs: DataFrame, truth_counts: DataFrame, score: str = "sco
         F.aggregate(F.filter("h", lambda x: x["_step"] >= k), F.lit(0).cast("long"), lambda s, x: s + x["tp"]).alias("n_tp"),
     ))
     scores = per.select("n_true", F.explode(at).alias("e")).select("e.k", entity_score(F.col("n_true"), F.col("e.n_pred"), F.col("e.n_tp")).alias("f"))
-    sums = scores.groupBy("k").agg(F.sum("f").alias("f"))
     # S1 records without a pair score 1 if they have no link, else 0, at every threshold
-    rest = truth_counts.join(per.select("s1_id"), "s1_id", "left_anti").agg(F.coalesce(F.sum((F.col("n_true") == 0).cast("double")), F.lit(0.0)).alias("rest"))
-    n = truth_counts.agg(F.count("*").alias("n_s1"))
-    named = F.element_at(steps, F.col("k"))
-    every = pairs.sparkSession.range(1, len(grid) + 1).select(F.col("id").cast("int").alias("k"))
-    out = every.join(sums, "k", "left").crossJoin(F.broadcast(rest)).crossJoin(F.broadcast(n))  # one row each
-    total = F.coalesce("f", F.lit(0.0)) + F.col("rest")
-    return out.select(named.alias("threshold"), F.when(F.col("n_s1") > 0, total / F.col("n_s1")).otherwise(0.0).alias("macro_f05"))
+    alone = truth_counts.join(per.select("s1_id").withColumn("_p", F.lit(True)), "s1_id", "left")
+    alone = alone.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_p").isNull() & (F.col("n_true") == 0)).cast("double")), F.lit(0.0)).alias("f"))
+    alone = alone.select(F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("k"), "f", "n")
+    sums = scores.select("k", "f", F.lit(0).cast("long").alias("n")).union(alone).groupBy("k").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    return sums.select(F.element_at(steps, F.col("k")).alias("threshold"), F.when(F.col("n") > 0, F.col("f") / F.col("n")).otherwise(0.0).alias("macro_f05"))
 
 
 def tune_threshold(pairs: DataFrame, truth_counts: DataFrame, score: str = "score", per_source: bool = False, grid: list[float] | None = None, max_per_s1: int | None = None, resolve_conflicts: bool = True) -> tuple[Threshold, float]:

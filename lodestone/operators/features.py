@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.similarity import SCORERS, number_overlap, string_similarity, token_overlap
+from lodestone.functions.similarity import SCORERS, dot, number_overlap, string_similarity, token_overlap
 from lodestone.functions.text import tokens
 from lodestone.operators.blocking import BLOCKER_BITS, group_rank
 from lodestone.operators.links import gathered
@@ -100,11 +100,11 @@ def pruner_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, strings
     return out.select(*pairs.columns, "n_blockers", *(n for n, _, _ in strings)), names
 
 
-def build_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, groups: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def build_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, groups: list[str] | None = None, embeddings: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """pairs with all features of the matcher, and the features' names in order.
 
     pairs must be the complete candidate set, as ranks compare pairs with each other. With all groups and two blockers
-    there are 70 features; embedding columns of the pairs add theirs.
+    there are 70 features, with embeddings 74. embeddings: (entity_id, name, full), vectors of unit length, of S1 and targets.
     """
     groups = GROUPS if groups is None else groups
     fields = ["name_norm", "name_core", "address_norm", "postal_codes", "house_number", "country_norm", "address_numbers"]
@@ -138,6 +138,12 @@ def build_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, groups:
         before = out.columns
         out = rank_features(out, sims)
         names += [c for c in out.columns if c not in before]
+    if embeddings is not None:
+        left, right = (e.select(F.col("entity_id").alias(key), F.col("name").alias(f"_{side}_name"), F.col("full").alias(f"_{side}_full")) for e, key, side in zip(embeddings, ("s1_id", "tgt_id"), ("a", "b")))
+        out = out.join(left, "s1_id", "left").join(right, "tgt_id", "left")
+        out = add(out, [F.coalesce(dot(F.col(f"_a_{f}"), F.col(f"_b_{f}")), F.lit(0.0)).alias(f"emb_{f}_cos") for f in ("name", "full")])
+        if "rank_embedding" in pairs.columns:
+            out = add(out, [F.col("rank_embedding").cast("double").alias("blk_rank_embedding")])
     return out.select(*pairs.columns, *(n for n in names if n not in pairs.columns)), names
 
 

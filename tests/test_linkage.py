@@ -36,6 +36,7 @@ def test_country_blocks_equal_the_plain_condition(spark, split):
     b = [(r["entity_id"], r["source"], r["country_norm"]) for r in split.targets.collect()]
     want = {(i, j) for i, c in a for j, s, d in b if c == d or not c or not d or c not in {y for _, z, y in b if z == s}}
     assert got == want
+    assert left.groupBy("s1_id", "source").count().where("count <> 2").isEmpty()
     assert any(c and not any(c == d for _, _, d in b) for _, c in a)  # a country that no target has
     off = blocking.country_blocks(split.s1, split.targets, False)
     assert off[0].join(off[1], ["source", "block"]).count() == len(a) * len(b)
@@ -61,6 +62,21 @@ def test_embedding_blocker(spark, split):
     pairs = blocking.generate_candidates(split.s1, split.targets, 2, embeddings=(vec(split.s1), vec(split.targets)))
     assert {"score_embedding", "rank_embedding"} <= set(pairs.columns)
     assert pairs.where(F.col("blockers").bitwiseAND(4) > 0).groupBy("s1_id", "source").count().where("count > 2").isEmpty()
+    both = lambda df: vec(df).select("entity_id", F.col("vector").alias("name"), F.col("vector").alias("full"))
+    _, names = features.build_features(pairs.withColumn("pruner_prob", F.col("score_name")), split.s1, split.targets, embeddings=(both(split.s1), both(split.targets)))
+    assert len(names) == 74
+
+
+def test_dense_top_k_in_blocks(spark):
+    rng = random.Random(8)
+    rows = lambda p, n: spark.createDataFrame([(f"{p}{i}", "S2", rng.choice("xy"), [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(n)], f"{'s1' if p == 'q' else 'tgt'}_id string, source string, block string, vector array<double>")
+    q, t = rows("q", 12), rows("t", 40).repartition(5)
+    want = {}
+    for a in q.collect():
+        scores = sorted((-sum(x * y for x, y in zip(a["vector"], b["vector"])), b["tgt_id"]) for b in t.collect() if b["block"] == a["block"])
+        want |= {(a["s1_id"], i): (-s, r + 1) for r, (s, i) in enumerate(scores[:4])}
+    for block in (100, 3):
+        assert {(r["s1_id"], r["tgt_id"]): (r["score"], r["rank"]) for r in blocking.dense_top_k(q, t, 4, block).collect()} == want
 
 
 def test_links(spark, split):
