@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.shared import dropped, kept
+
 #: Everything but a-z, 0-9 and bytes from 0x80 becomes a space, A-Z become a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -57,35 +57,6 @@ def raw(column: pa.Array) -> Iterator[bytes | None]:
     return (x.as_py() for x in column.cast(binary))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there. The files go when the application ends."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    top = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
-    at = f"{top}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    path = jvm.org.apache.hadoop.fs.Path(top)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of tables made by kept(); nothing may read them later."""
-    for df in frames:
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _bit(keys: np.ndarray) -> np.ndarray:
     return mix(keys.view(np.uint64)) >> np.uint64(64 - _BITS)
 
