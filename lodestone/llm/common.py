@@ -30,6 +30,18 @@ def schema_of(docs: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(ddl).fields])
 
 
+#: Bytes of an Arrow batch between Spark and Python, on either side of it.
+BATCH = 4 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold few texts, as texts may be long. A size that the user set is left."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "64MB", "64m"):  # Spark's default
+        conf.set(name, str(BATCH))
+    return df
+
+
 def space_words(text: bytes) -> list[bytes]:
     """Words between ASCII white space; A-Z become a-z, other bytes stay."""
     return text.lower().split()

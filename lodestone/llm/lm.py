@@ -2,7 +2,8 @@
 
 A text is its words and one end token. A word is its bytes and a closing space; its symbols are predicted from at most
 DEPTH symbols before them, of which the first is the space that opens the word, so that the probability of a text is the
-product over its tokens and a token has one probability wherever it stands. A context becomes a state of the tree if its
+product over its tokens and a token has one probability wherever it stands. Tokens seen in training are counted whole;
+the tree spells the others, with the number of distinct tokens as its weight. A context becomes a state of the tree if its
 next-symbol distribution diverges enough from that of the context without its oldest symbol: the log-likelihood gained
 on the training text must pay for the state's symbols. The tree is closed under suffixes; states are smoothed by mixing
 in their parent's distribution, with the number of distinct next symbols as its weight, down to a uniform distribution.
@@ -24,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept, raw, schema_of, space_words
+from lodestone.llm.common import kept, lean, raw, schema_of, space_words
 
 DEPTH = 5
 SYMBOLS = 257  # bytes and the end
 #: Bytes of text in a block.
-BLOCK = 24 << 20
+BLOCK = 12 << 20
 #: Rows of a tree that may be broadcast, 16 bytes each; a larger one is joined with the words.
 BROADCAST_ROWS = 4_000_000
 #: A state must gain this many nats for itself and for each of its symbols.
@@ -154,7 +155,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sizes = packed(batch.column("word").to_pylist())
         held.append(_summed(keys, np.repeat(batch.column("n").to_numpy(), sizes)))
-        if sum(len(x[0]) for x in held) > 3_000_000:
+        if sum(len(x[0]) for x in held) > 1_000_000:
             yield flushed()
     if held:
         yield flushed()
@@ -262,7 +263,7 @@ def score_texts(docs: DataFrame, held_out: Column, most: int = BROADCAST_ROWS, b
     log10((c + 1) / (N + V + 1)) over the tokens: c is the token's count, N that of all and V of distinct training tokens.
     Equal rows are scored alike; an empty table gives no rows; other columns of docs are not read.
     """
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    rows = lean(docs).select("doc_id", held_out.alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"block long, doc_id {kind}, held_out boolean, n_tokens long, words binary, word binary, trained long"
     blocks = kept(rows.mapInArrow(_blocks(block), ddl))
@@ -271,6 +272,8 @@ def score_texts(docs: DataFrame, held_out: Column, most: int = BROADCAST_ROWS, b
     totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = int(totals["n"]), int(totals["v"])
     scored = word_scores(words, *grow(words), most)
+    if n_all:
+        scored = scored.withColumn("logp", F.log10((F.col("n") + distinct * F.pow(F.lit(10.0), "logp")) / (n_all + distinct)))
     answers = asked.select("block", "id", "word").join(scored, "word").select("block", "id", "n", "logp")
     told = answers.select("block", F.lit(0).alias("turn"), F.col("id").alias("n_tokens"), F.col("n").alias("count"), "logp", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("words"))
     texts = blocks.where("words is not null").select("block", F.lit(1).alias("turn"), "n_tokens", F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("logp"), "doc_id", "held_out", "words")
