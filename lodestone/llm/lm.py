@@ -2,8 +2,9 @@
 
 A text is its words and one end token. A word is its bytes and a closing space; its symbols are predicted from at most
 DEPTH symbols before them, of which the first is the space that opens the word, so that the probability of a text is the
-product over its tokens and a token has one probability wherever it stands. Tokens seen in training are counted whole;
-the tree spells the others, with the number of distinct tokens as its weight. A context becomes a state of the tree if its
+product over its tokens and a token has one probability wherever it stands. Tokens seen in training are counted whole,
+less a discount; the discounts' mass goes to the tree, which spells tokens and is grown on the distinct ones, as those are
+what new tokens resemble. A context becomes a state of the tree if its
 next-symbol distribution diverges enough from that of the context without its oldest symbol: the log-likelihood gained
 on the training text must pay for the state's symbols. The tree is closed under suffixes; states are smoothed by mixing
 in their parent's distribution, with the number of distinct next symbols as its weight, down to a uniform distribution.
@@ -269,11 +270,14 @@ def score_texts(docs: DataFrame, held_out: Column, most: int = BROADCAST_ROWS, b
     blocks = kept(rows.mapInArrow(_blocks(block), ddl))
     asked = blocks.where("word is not null").select("block", F.col("n_tokens").alias("id"), "word", "trained")
     words = kept(asked.groupBy("word").agg(F.sum("trained").alias("n")))
-    totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     n_all, distinct = int(totals["n"]), int(totals["v"])
-    scored = word_scores(words, *grow(words), most)
+    scored = word_scores(words, *grow(words.select("word", F.least("n", F.lit(1).cast("long")).alias("n"))), most)
     if n_all:
-        scored = scored.withColumn("logp", F.log10((F.col("n") + distinct * F.pow(F.lit(10.0), "logp")) / (n_all + distinct)))
+        # absolute discounting: what is taken from the tokens seen goes to the tree, which is grown on distinct tokens
+        discount = totals["once"] / (totals["once"] + 2 * totals["twice"]) if totals["twice"] else 0.5
+        own = F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * distinct * F.pow(F.lit(10.0), "logp")
+        scored = scored.withColumn("logp", F.log10(own / n_all))
     answers = asked.select("block", "id", "word").join(scored, "word").select("block", "id", "n", "logp")
     told = answers.select("block", F.lit(0).alias("turn"), F.col("id").alias("n_tokens"), F.col("n").alias("count"), "logp", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("words"))
     texts = blocks.where("words is not null").select("block", F.lit(1).alias("turn"), "n_tokens", F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("logp"), "doc_id", "held_out", "words")
