@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix, schema_of
+from lodestone.llm.common import lean, mix, schema_of
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = [fingerprint((x.as_py() or "").encode()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema_of(docs, "fingerprint string"))
+    return lean(docs).select("doc_id", "text").mapInArrow(run, schema_of(docs, "fingerprint string"))
 
 
 _LOWEST = -(1 << 63)
@@ -184,7 +184,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
     rows = docs.select("doc_id", "text", F.explode(dealt(key)).alias("code"))
     rows = rows.select(F.shiftright("code", 1).alias("part"), (F.col("code") % 2).alias("lead"), "doc_id", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "lead", "doc_id", "text")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "lead", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -200,7 +200,7 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     first, so that a single document is its own next. A null text counts as empty. An empty table gives no rows; other
     columns of docs are not read. Texts are moved once, in ranges of doc_id.
     """
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
