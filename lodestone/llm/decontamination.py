@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import kept, mix, raw
+from lodestone.llm.common import kept, lean, mix, raw
 
 #: Template tokens in a window, and the fewest that an item must have to be looked for.
 WINDOW, LEAST = 8, 5
@@ -158,7 +158,7 @@ def _indexes(benchmark: DataFrame, key: str, block_tokens: int) -> Iterator[Inde
             n = [len(_TOKEN.findall(t or b"")) for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n"])
 
-    items = benchmark.select(F.col(key).alias("id"), "text").where("text is not null").distinct()
+    items = lean(benchmark).select(F.col(key).alias("id"), "text").where("text is not null").distinct()
     items = kept(items.mapInArrow(counted, T.StructType([*items.schema.fields, T.StructField("n", T.LongType())])))
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_tokens))

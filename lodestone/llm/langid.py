@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import schema_of
+from lodestone.llm.common import lean, schema_of
 
 #: Families of languages by code. A language that is in none is a family of its own.
 FAMILIES = {
@@ -119,7 +119,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, rows: int = 2400) -> Model | None:
     """A model from the labelled rows of docs (text, lang, doc_id); about `rows` of them at most are used, as many of each
     language as there are, up to an equal share; which, a hash of doc_id decides."""
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    labelled = lean(docs).where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -134,7 +134,7 @@ def train(docs: DataFrame, rows: int = 2400) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, held_out: Column) -> DataFrame:
     """A row for each document: doc_id, held_out, lang_pred, score. `und` with score 0 for a text that is null or has no
     letter, or without a model. Only doc_id and text are read, and of these only the text is predicted from."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = lean(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

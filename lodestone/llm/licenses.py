@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import plain_words, raw, schema_of
+from lodestone.llm.common import lean, plain_words, raw, schema_of
 
 #: Phrases that name a licence, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -171,7 +171,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     score: the largest covered part of a template among the spans, 1 where a phrase stands, else 0. Null texts count as
     empty: no words, no labels, score 0. Nothing is shuffled; other columns of docs are not read.
     """
-    schema = schema_of(docs, SCHEMA)
+    schema = schema_of(lean(docs), SCHEMA)
     templates = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

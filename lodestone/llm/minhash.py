@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import components, dropped, filtered, kept, key_filter, mix, raw, schema_of, signed, space_words
+from lodestone.llm.common import components, dropped, filtered, kept, key_filter, lean, mix, raw, schema_of, signed, space_words
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -86,14 +86,17 @@ def _sketched(k: int, n_bands: int, rows: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, may_be_wanted):
+    """(doc_id, _key, set) of the documents that may be wanted, by the hash _mark of doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_be_wanted(batch.column("_mark").to_numpy())))
             sets = [shingles(space_words(text or b""), k) for text in raw(batch.column("text"))]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = signed(np.concatenate(sets)) if sets else np.empty(0, np.int64)
             keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["_key", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "_key", "set"])
 
     return run
 
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     rows; other columns of docs are not read.
     """
     n_bands, rows = banding(percent / 100, bins)
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     all_rows = kept(docs.mapInArrow(_sketched(words, n_bands, rows), schema_of(docs, "n_shingles long, _key binary, _bands array<long>")))
     linked = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = linked.groupBy("_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("_bands").alias("_bands"))
@@ -229,10 +232,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     cells = classes.select("node", "n", F.explode("_bands").alias("bucket"))
     members = kept(_shared(cells))
     nodes = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("_key", "doc", "node"))
-    mark = F.xxhash64("doc_id").alias("_mark")
-    chosen = filtered(docs.select("doc_id", mark, "text"), "_mark", key_filter(nodes.select(F.xxhash64("doc"))))
-    chosen = chosen.join(nodes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_sets(words), "_key binary, set array<long>").join(nodes, "_key").select("node", "set")
+    wanted = key_filter(nodes.select(F.xxhash64("doc")))
+    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_mark")).mapInArrow(_sets(words, wanted), schema_of(docs, "_key binary, set array<long>"))
+    sets = found.withColumnRenamed("doc_id", "doc").join(nodes, ["doc", "_key"]).select("node", "set")
     roots = _links(members, kept(sets), percent)
     named = classes.select("_key", "doc", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))

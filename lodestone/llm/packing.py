@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import kept, schema_of
+from lodestone.llm.common import kept, lean, schema_of
 
 #: Longer texts are tokenized part by part, cut where the tokenizer's pattern always splits.
 PART = 1 << 21
+#: Pairs of block and length whose first ranks are broadcast, some 64 bytes each; more are joined.
+FEW_STARTS = 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -141,7 +143,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str
     end id; equal rows are packed one by one; an empty table gives no rows; other columns of docs are not read. Pieces of
     a length are ranked block by block, so that none of them meet in one task.
     """
-    spark = docs.sparkSession
+    spark = lean(docs).sparkSession
     schema = schema_of(docs, "piece int, start long, length long, ids_crc32 long, _block int, _rank long" + ", ids array<int>" * with_ids)
     parts = kept(docs.select("doc_id", "text").mapInArrow(_tokenized(capacity, end_id, vocabulary, with_ids), schema))
     sums = parts.groupBy("length", "_block").agg(F.count("*").alias("_n"))
@@ -152,6 +154,8 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str
     arrays = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in runs.items()})
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if sums.count() <= FEW_STARTS:  # else ids are shuffled with the rows
+        starts = F.broadcast(starts)
     ranked = parts.join(starts, ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

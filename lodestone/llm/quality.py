@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import raw, schema_of
+from lodestone.llm.common import lean, raw, schema_of
 
 NAMES = (
     "log_bytes upper lower digit space newline high sentence_marks pipes brackets other_marks control "
@@ -152,7 +152,7 @@ def _draw(key: str, most: int, of: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> Model | None:
     """A model from labels (doc_id, quality) and the texts of docs; both hold training rows only. About `positives` trusted
     and `unlabelled` unlabelled texts are used at most. None if there is no positive label or no text."""
-    spark = docs.sparkSession
+    spark = lean(docs).sparkSession
     counts = labels.where("quality is not null and doc_id is not null").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good")).first()
     n_docs = docs.count()
     if not counts["good"] or not n_docs:
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
 
 def scored(docs: DataFrame, model: Model | None, to: str = "quality_score") -> DataFrame:
     """docs with a column `to`, 0 to 1, of the whole text; null texts count as empty; 0.5 without a model."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = lean(docs).sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import filtered, kept, key_filter, mix, raw, schema_of, signed
+from lodestone.llm.common import filtered, kept, key_filter, lean, mix, raw, schema_of, signed
 
 GRAM = 32
 #: Distinct contexts that one suffix array may hold; at 200 bytes a string they make 1.5 million symbols, some 300 MB, at worst.
@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     bytes covered by strings of `length` bytes that also start anywhere else. Spans may overlap and are in no order."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
-    docs = _keyed(docs)
+    docs = _keyed(lean(docs))
     schema = schema_of(docs, "_text long, at long, before int, behind int, gram long, own long")
     found = kept(docs.mapInArrow(_anchored(length), schema))
     twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
