@@ -24,8 +24,8 @@ def blocker_text(blocker: str) -> Column:
 def terms(text: Column) -> Column:
     """Words and pairs of neighbouring words, with repeats."""
     tok = words(text)
-    pairs = F.transform(F.slice(tok, 1, F.greatest(F.size(tok) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(tok, i + 1)))
-    return F.concat(tok, pairs)
+    few = F.greatest(F.size(tok) - 1, F.lit(0))
+    return F.concat(tok, F.zip_with(F.slice(tok, 1, few), F.slice(tok, 2, few), lambda x, y: F.concat_ws(" ", x, y)))
 
 
 def term_counts(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
