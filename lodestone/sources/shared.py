@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +20,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_scopes = threading.local()
+
+
+def settled(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is kept as a table before it returns, so that the tables it kept on the way can go at once."""
+
+    @functools.wraps(f)
+    def run(*args, **more) -> DataFrame:
+        stack = _scopes.__dict__.setdefault("stack", [])
+        stack.append([])
+        try:
+            out = f(*args, **more)
+        except BaseException:
+            stack.pop()
+            raise
+        mine = stack.pop()
+        out = kept(out)
+        fs = None
+        for at in mine:
+            path = out.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            fs = fs or path.getFileSystem(out.sparkSession.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(path, True)
+        return out
+
+    return run
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: later plans start at these files. They go
-    when the application ends."""
+    when the application ends, or with the settled() function that they are kept in."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
     at = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(at)
+    if _scopes.__dict__.get("stack"):
+        _scopes.stack[-1].append(at)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
