@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept, lean, raw, schema_of, space_words
+from lodestone.sources.shared import settled
 
 DEPTH = 5
 SYMBOLS = 257  # bytes and the end
@@ -257,6 +258,7 @@ def word_scores(words: DataFrame, tree: DataFrame, states: DataFrame, most: int
     return words.join(sums, "word")
 
 
+@settled
 def score_texts(docs: DataFrame, held_out: Column, most: int = BROADCAST_ROWS, block: int = BLOCK) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

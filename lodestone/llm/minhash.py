@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.common import components, dropped, filtered, kept, key_filter, lean, mix, raw, schema_of, signed, space_words
+from lodestone.sources.shared import settled
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -215,6 +216,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             roots = kept(components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
 
 
+@settled
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 180) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
@@ -249,7 +251,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bins: int =
     """docs with one document of each group of near-duplicates: the smallest by doc_id and hash of the text, and one row of
     those that are equal in both. All columns stay. Only documents that may go are moved."""
     key = F.struct("doc_id", F.xxhash64("text").alias("text"))
-    near = kept(near_duplicates(docs.select(key.alias("doc_id"), "text"), words, percent, bins).select("doc_id", "kept"))
+    near = near_duplicates(docs.select(key.alias("doc_id"), "text"), words, percent, bins).select("doc_id", "kept")
     lost = near.where(~F.col("kept")).select("doc_id").distinct()
     twice = near.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     may_go = key_filter(lost.union(twice).select("doc_id.text"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import filtered, kept, key_filter, lean, mix, raw, schema_of, signed
+from lodestone.sources.shared import settled
 
 GRAM = 32
 #: Distinct contexts that one suffix array may hold; at 200 bytes a string they make 1.5 million symbols, some 300 MB, at worst.
@@ -286,6 +287,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["_id"]) & (a["_text"] == b["_key"])
 
 
+@settled
 def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """(_id, _key, spans): for documents, named by doc_id and the hash of the text, that have them, the spans (lo, hi) in
     bytes covered by strings of `length` bytes that also start anywhere else. Spans may overlap and are in no order."""
@@ -332,6 +334,7 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
     return runs, b"".join([*kept_parts, text[last:]])
 
 
+@settled
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<lo,hi>>, judged on the
     UTF-8 bytes of the texts and never across documents.
@@ -340,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     loses its text from `length` bytes on. Documents that lose nothing are digested where they are read; only the others'
     texts are moved. Other columns of docs are not read.
     """
-    spans = kept(repeated_spans(docs, length))
+    spans = repeated_spans(docs, length)
     may_have = key_filter(spans.select("_key"))
     docs = _keyed(docs)
     utf8 = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
@@ -365,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated bytes taken out of text, all other columns as they are; a removed run is narrowed to whole
     code points. n_chars, where there is such a column, becomes the new text's."""
-    spans = kept(repeated_spans(docs, length))
+    spans = repeated_spans(docs, length)
     may_have = key_filter(spans.select("_key"))
     own = docs.withColumn(_HASH, F.xxhash64("text"))
     clean = filtered(own, _HASH, lambda x: ~may_have(x)).drop(_HASH)
