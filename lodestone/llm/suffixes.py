@@ -283,6 +283,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
 
 
+def _joined(spans: Column) -> Column:
+    """Spans that touch or overlap made one, so that there are a few for a context however many windows it has."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], x["hi"]).alias("hi"))))
+    step = lambda acc, x: F.when(last(acc)["hi"] >= x["lo"], grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<lo:int,hi:int>>"), step)
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["_id"]) & (a["_text"] == b["_key"])
 
@@ -318,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     again = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
     spans = spans.union(windows.join(again, ["gram", "window"]).select("gram", "own", "lo", (F.col("lo") + length).cast("int").alias("hi")))
     copies = owns.where("n > 1").select("gram", "own", F.lit(0).alias("lo"), (F.col("f.before") + F.col("f.behind")).alias("hi"))
-    spans = kept(spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    spans = kept(spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("spans", _joined(F.col("spans"))))
     base = F.col("at") - F.col("before")
     apart = mixed.join(spans, ["gram", "own"]).select("doc_id", "_text", base.alias("base"), F.explode("spans").alias("s"))
     apart = apart.select("doc_id", "_text", (F.col("base") + F.col("s.lo")).alias("lo"), (F.col("base") + F.col("s.hi")).alias("hi"))
