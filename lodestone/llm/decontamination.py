@@ -3,15 +3,15 @@
 Texts become templates: numbers, names and the units after numbers turn into typed placeholders, other words into lower
 case. A window is a run of template tokens. Windows of the items are looked up by hash in the documents; where they match,
 token by token, they are set against the item they come from. The values that stand in the slots must be consistent: over
-all matched windows of an item in a document, one value of the item always meets one value of the document and the other
-way round. Items are taken in blocks of bounded size, each of which is broadcast and compared with all documents.
+a set of matched windows of an item in a document, one value of the item always meets one value of the document and the
+other way round. Each occurrence has a set that starts with its own windows; the set that covers most counts. Items are taken in blocks of bounded size, each of which is broadcast and compared with all documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,52 @@ def _hashes(ids: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+#: A window of an item in a text: its place there, the item's tokens from and to, and the pairs of values in its slots.
+Window = tuple[int, int, int, tuple[tuple[tuple[int, bytes], tuple[int, bytes]], ...]]
+
+
+def _consistent(windows: Iterable[Window]) -> tuple[list[Window], int, bool]:
+    """Of windows those whose slots agree with all taken before, the tokens they cover and whether all slots are alike."""
+    there: dict[tuple[int, bytes], tuple[int, bytes]] = {}
+    back: dict[tuple[int, bytes], tuple[int, bytes]] = {}
+    taken, covered, alike = [], set(), True
+    for window in windows:
+        pairs = window[3]
+        if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs):
+            for x, y in pairs:
+                there[x], back[y] = y, x
+                alike &= x == y
+            covered.update(range(window[1], window[2]))
+            taken.append(window)
+    return taken, len(covered), alike
+
+
+def _best(windows: list[Window]) -> tuple[int, bool, int]:
+    """Tokens covered, all slots alike, and windows, of the set of consistent windows that covers most.
+
+    The windows whose slots are all alike are a set; so are those that agree in the order of the text; and each window
+    left over starts one, to which those of its own alignment are added first, the nearest before others. So every
+    occurrence is judged by its own values, and parts that lie apart still add up.
+    """
+    most = len(set().union(*(range(a, b) for _, a, b, _ in windows)))
+    exact = [x for x in windows if all(y == z for y, z in x[3])]
+    best, left = (0, False, 0), dict.fromkeys(windows)
+    orders = [lambda: exact, lambda: exact + [x for x in windows if any(y != z for y, z in x[3])], lambda: windows]
+    while (orders or left) and not (best[0] == most and best[1]):
+        if not orders:
+            if best[0] == most:
+                break
+            p, a, *_ = next(iter(left))
+            order = sorted(windows, key=lambda x: (x[0] - x[1] != p - a, abs(x[0] - p)))
+        else:
+            order = orders.pop(0)()
+        taken, covered, alike = _consistent(order)
+        best = max(best, (covered, alike, len(taken)))
+        for x in taken:
+            left.pop(x, None)
+    return best
+
+
 class Index:
     """Template windows of items (id, text). Items of fewer than WINDOW tokens are one window, of fewer than LEAST none."""
 
@@ -132,21 +178,18 @@ class Index:
                         found[int(item[j])].append((p, int(at[j]), w))
                     j += 1
         out = []
-        for k, windows in sorted(found.items()):
+        for k, places in sorted(found.items()):
             item_id, own, values = self.items[k]
-            there: dict[tuple[int, bytes], bytes] = {}
-            back: dict[tuple[int, bytes], bytes] = {}
-            covered, n, alike = set(), 0, True
-            for p, a, w in sorted(windows):
-                pairs = [((int(own[a + i]), values[a + i].lower()), (int(own[a + i]), raw_tokens[p + i].lower())) for i in range(w) if own[a + i] < FIRST_WORD]
-                if all(there.get(x, y[1]) == y[1] and back.get(y, x[1]) == x[1] for x, y in pairs) and len({x for x, _ in pairs}) == len({y for _, y in pairs}):
-                    for x, y in pairs:
-                        there[x], back[y] = y[1], x[1]
-                        alike &= x == y
-                    covered.update(range(a, a + w))
-                    n += 1
-            if len(covered) >= min(least, len(own)) and len(covered) >= share * len(own):
-                out.append((item_id, n, len(covered), len(covered) / len(own), alike))
+            if len(set().union(*(range(a, a + w) for _, a, w in places))) < max(min(least, len(own)), share * len(own)):
+                continue
+            windows = []
+            for p, a, w in sorted(places):
+                pairs = {((int(own[a + i]), values[a + i].lower()), (int(own[a + i]), raw_tokens[p + i].lower())) for i in range(w) if own[a + i] < FIRST_WORD}
+                if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                    windows.append((p, a, a + w, tuple(pairs)))
+            covered, alike, n = _best(windows)
+            if covered >= min(least, len(own)) and covered >= share * len(own):
+                out.append((item_id, n, covered, covered / len(own), alike))
         return out
 
 

@@ -151,3 +151,27 @@ def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminations(docs, none).count() == 0 and decontamination.decontaminated(docs, none).count() == 1
+
+
+TOM = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+
+
+def in_text(text, item=TOM):
+    index = decontamination.Index([(1, item.encode())])
+    return index.matches(text.encode(), decontamination.Codes(index.vocabulary), 13, 0.3)
+
+
+def test_each_occurrence_has_its_own_slots():
+    own = in_text("So: " + TOM)[0]
+    assert own[2] >= 13 and own[4]
+    for before in ("Tom has 9 apples. Tom buys 4 more. ", "Tom has 9 apples. Tom buys 5 more. And then " * 3, TOM.replace("5", "8") + " " + TOM.replace("3", "6") + " "):
+        assert in_text(before + "Some other words stand here. " + TOM)[0][2:] == (14, 1.0, True)
+    changed = TOM.replace("5", "70").replace("3", "21")  # neither the first nor exact
+    assert in_text("Tom has 9 apples. Tom buys 4 more. Well. " + changed)[0][2:] == (14, 1.0, False)
+    assert in_text("Tom has 9 apples. Tom buys 4 more. Well. Tom has 8 apples. Tom buys 2 more.") == []
+
+
+def test_parts_that_lie_apart_still_add_up():
+    words = "one river runs along seven green hills until evening while many old boats carry salt"
+    first, second = words.split()[:8], words.split()[7:]
+    assert in_text(" ".join(second) + " and so on " + " ".join(first), words)[0][2] == 15
