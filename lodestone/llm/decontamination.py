@@ -1,7 +1,8 @@
 """Finding benchmark items in documents, re-parameterised ones too, by template windows and slot consistency.
 
 Texts become templates: numbers, names and the units after numbers turn into typed placeholders, other words into lower
-case. A window is a run of template tokens. Windows of the items are looked up by hash in the documents; where they match,
+case. As a capital at the start of a sentence may be a name or not, and a name may have more words than one, there are two
+templates, and a plain one of lower-case tokens for copies in which capitals stand elsewhere. A window is a run of template tokens. Windows of the items are looked up by hash in the documents; where they match,
 token by token, they are set against the item they come from. The values that stand in the slots must be consistent: over
 a set of matched windows of an item in a document, one value of the item always meets one value of the document and the
 other way round. Each occurrence has a set that starts with its own windows; the set that covers most counts. Items are taken in blocks of bounded size, each of which is broadcast and compared with all documents.
@@ -37,13 +38,17 @@ UNITS = (
 
 _TOKEN = re.compile(rb"[0-9]+(?:[.,:][0-9]+)*|[A-Za-z\x80-\xff]+|[.!?\n]")
 NUMBER, NAME, UNIT, FIRST_WORD = 0, 1, 2, 3
+#: Which of the templates has no slots.
+PLAIN = 2
 _OTHER, _STOP = -1, -2
 _CAPITAL = 1 << 32
 _UNIT = 1 << 33
+_NUMBER = 1 << 34
+_LOW = (1 << 31) - 1
 
 
 class Codes(dict):
-    """Codes of raw tokens: the id of the lower-case word, marked if it is capitalised or a unit's name."""
+    """Codes of raw tokens: the id of the lower-case token, marked if it is a number, capitalised or a unit's name."""
 
     def __init__(self, vocabulary: dict[bytes, int], grow: bool = False) -> None:
         super().__init__()
@@ -52,34 +57,58 @@ class Codes(dict):
     def __missing__(self, token: bytes) -> int:
         if token in b".!?\n":
             return self.setdefault(token, _STOP)
-        if token[0] <= 57 and token[0] >= 48:
-            return NUMBER
         word = token.lower()
         code = self.vocabulary.setdefault(word, FIRST_WORD + len(self.vocabulary)) if self.grow else self.vocabulary.get(word, _OTHER)
         if code == _OTHER:
-            code = (1 << 31) - 1
-        code |= (_CAPITAL if token[:1].isupper() else 0) | (_UNIT if word in self.units else 0)
+            code = _LOW
+        code |= (_NUMBER if 48 <= token[0] <= 57 else 0) | (_CAPITAL if token[:1].isupper() else 0) | (_UNIT if word in self.units else 0)
         if len(self) >= REMEMBERED:
             self.clear()
         self[token] = code
         return code
 
 
-def template(text: bytes, codes: Codes) -> tuple[np.ndarray, list[bytes]]:
-    """The template tokens of a text (an unknown word is -1) and their raw tokens."""
+#: A template: its tokens (an unknown word is -1) and the raw token at which each starts, with the number of raw tokens last.
+Template = tuple[np.ndarray, np.ndarray]
+
+
+def templates(text: bytes, codes: Codes) -> tuple[list[bytes], list[Template]]:
+    """The raw tokens of a text and its templates: typed, with a capitalised word a name where it does not open its sentence;
+    merged, with every run of capitalised words in a sentence one name, at its opening too; and plain, without slots."""
     tokens = _TOKEN.findall(text)
-    if not tokens:
-        return np.empty(0, np.int64), []
     code = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
     stop = code == _STOP
-    after = np.concatenate(([True], stop[:-1]))
-    out = code & ((1 << 31) - 1)
-    out[out == (1 << 31) - 1] = _OTHER
-    number = code == NUMBER
-    out[((code & _CAPITAL) > 0) & ~after & ~stop] = NAME
-    out[((code & _UNIT) > 0) & np.concatenate(([False], number[:-1])) & ~stop] = UNIT
     keep = np.flatnonzero(~stop)
-    return out[keep], [tokens[i] for i in keep.tolist()] if keep.size < len(tokens) else tokens
+    if not keep.size:
+        return [], [(np.empty(0, np.int64), np.zeros(1, np.int64))] * 3
+    after = np.concatenate(([True], stop[:-1]))[keep]
+    code = code[keep]
+    plain = code & _LOW
+    plain[plain == _LOW] = _OTHER
+    number, capital = (code & _NUMBER) > 0, (code & _CAPITAL) > 0
+    unit = ((code & _UNIT) > 0) & np.concatenate(([False], number[:-1])) & ~after
+    typed = plain.copy()
+    typed[number], typed[capital & ~after], typed[unit] = NUMBER, NAME, UNIT
+    name = capital & ~unit
+    runs = typed.copy()
+    runs[name] = NAME
+    starts = np.flatnonzero(~(name & np.concatenate(([False], name[:-1])) & ~after))
+    each = np.arange(len(code) + 1)
+    raw_tokens = [tokens[i] for i in keep.tolist()] if keep.size < len(tokens) else tokens
+    return raw_tokens, [(typed, each), (runs[starts], np.append(starts, len(code))), (plain, each)]
+
+
+def _slots(ids: np.ndarray, at: np.ndarray, raw_tokens: list[bytes], first: int, last: int) -> list[tuple[int, bytes]]:
+    """The types and values of the slots of a template from one token to another."""
+    return [(int(ids[i]), b" ".join(raw_tokens[at[i] : at[i + 1]]).lower()) for i in range(first, last) if ids[i] < FIRST_WORD]
+
+
+def _leading(ids: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below 2^22 from four tokens, for the first n places."""
+    x, out = ids.astype(np.uint64), np.zeros(n, np.uint64)
+    for i in range(4):
+        out = (out + x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+    return out >> np.uint64(42)
 
 
 def _hashes(ids: np.ndarray, w: int) -> np.ndarray:
@@ -131,39 +160,60 @@ def _best(windows: list[Window]) -> tuple[int, bool, int]:
         else:
             order = orders.pop(0)()
         taken, covered, alike = _consistent(order)
-        best = max(best, (covered, alike, len(taken)))
+        best = max(best, (covered, alike, len({x[:2] for x in taken})))
         for x in taken:
             left.pop(x, None)
     return best
 
 
 class Index:
-    """Template windows of items (id, text). Items of fewer than WINDOW tokens are one window, of fewer than LEAST none."""
+    """Windows of the templates of items (id, text). Templates of fewer than WINDOW tokens are one window, of fewer than LEAST none."""
 
     def __init__(self, items: list[tuple[object, bytes]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
         codes = Codes(self.vocabulary, grow=True)
-        self.items = [(i, *template(text, codes)) for i, text in items]
-        places: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
-        for k, (_, ids, _) in enumerate(self.items):
-            if len(ids) >= LEAST:
-                h = _hashes(ids, w := min(WINDOW, len(ids)))
-                places[w].append((h, np.full(len(h), k), np.arange(len(h))))
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for w, parts in sorted(places.items()):
-            h, item, at = (np.concatenate(x) for x in zip(*parts))
+        self.items = [(i, *templates(text, codes)) for i, text in items]
+        places: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for k, (_, _, forms) in enumerate(self.items):
+            for form, (ids, _) in enumerate(forms):
+                if len(ids) >= LEAST:
+                    h = _hashes(ids, w := min(WINDOW, len(ids)))
+                    places[form, w].append((h, np.full(len(h), k), np.arange(len(h)), _leading(ids, len(h))))
+        self.windows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.leading: dict[tuple[int, int], np.ndarray] = {}
+        for key, parts in sorted(places.items()):
+            h, item, at, lead = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
-            self.windows[w] = h[order], item[order], at[order]
+            self.windows[key] = h[order], item[order], at[order]
+            leading = np.zeros(1 << 22, bool)
+            leading[lead] = True
+            self.leading[key] = np.packbits(leading)
+
+    def _window(self, k: int, form: int, i: int, j: int, w: int, raw_tokens: list[bytes], forms: list[Template]) -> Window | None:
+        """The window of a template of item k at token j that is at token i of a text; None if its own slots disagree."""
+        _, values, own = self.items[k]
+        a, b = int(own[form][1][j]), int(own[form][1][j + w])
+        if form == PLAIN:  # slots of both other templates
+            same = {x for ids, at in own[:PLAIN] for x in _slots(ids, at, values, int(np.searchsorted(at, a)), int(np.searchsorted(at, b, "right")) - 1)}
+            pairs = {(x, x) for x in same}
+        else:
+            pairs = set(zip(_slots(*own[form], values, j, j + w), _slots(*forms[form], raw_tokens, i, i + w)))
+        if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+            return int(forms[form][1][i]), a, b, tuple(sorted(pairs))
+        return None
 
     def matches(self, text: bytes, codes: Codes, least: int, share: float) -> list[tuple[object, int, int, float, bool]]:
         """(item id, windows, tokens, covered part, all slots alike) of the items found in a text, in the order of items."""
-        ids, raw_tokens = template(text, codes)
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for w, (h, item, at) in self.windows.items():
+        raw_tokens, forms = templates(text, codes)
+        known = [np.concatenate(([0], np.cumsum(ids >= 0))) for ids, _ in forms]
+        found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for (form, w), (h, item, at) in self.windows.items():
+            ids = forms[form][0]
             if len(ids) < w:
                 continue
-            open_at = np.flatnonzero(known[w:] - known[:-w] == w)
+            lead = _leading(ids, len(ids) - w + 1)
+            bits = self.leading[form, w][lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7)).astype(np.uint8)) & 1
+            open_at = np.flatnonzero((bits > 0) & (known[form][w:] - known[form][:-w] == w))
             if not len(open_at):
                 continue
             own = np.full(len(open_at), w, np.uint64)
@@ -174,19 +224,17 @@ class Index:
             for k in hits.tolist():
                 j, p = int(first[k]), int(open_at[k])
                 while j < len(h) and h[j] == own[k]:
-                    if (self.items[item[j]][1][at[j] : at[j] + w] == ids[p : p + w]).all():
-                        found[int(item[j])].append((p, int(at[j]), w))
+                    if (self.items[item[j]][2][form][0][at[j] : at[j] + w] == ids[p : p + w]).all():
+                        found[int(item[j])].append((form, p, int(at[j]), w))
                     j += 1
         out = []
         for k, places in sorted(found.items()):
-            item_id, own, values = self.items[k]
-            if len(set().union(*(range(a, a + w) for _, a, w in places))) < max(min(least, len(own)), share * len(own)):
+            item_id, own, own_forms = self.items[k]
+            ends = ((int(own_forms[form][1][j]), int(own_forms[form][1][j + w])) for form, _, j, w in places)
+            if len(set().union(*(range(a, b) for a, b in ends))) < max(min(least, len(own)), share * len(own)):
                 continue
-            windows = []
-            for p, a, w in sorted(places):
-                pairs = {((int(own[a + i]), values[a + i].lower()), (int(own[a + i]), raw_tokens[p + i].lower())) for i in range(w) if own[a + i] < FIRST_WORD}
-                if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
-                    windows.append((p, a, a + w, tuple(pairs)))
+            windows = {x for form, i, j, w in places if (x := self._window(k, form, i, j, w, raw_tokens, forms))}
+            windows = sorted(windows)
             covered, alike, n = _best(windows)
             if covered >= min(least, len(own)) and covered >= share * len(own):
                 out.append((item_id, n, covered, covered / len(own), alike))

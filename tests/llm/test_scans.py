@@ -175,3 +175,25 @@ def test_parts_that_lie_apart_still_add_up():
     words = "one river runs along seven green hills until evening while many old boats carry salt"
     first, second = words.split()[:8], words.split()[7:]
     assert in_text(" ".join(second) + " and so on " + " ".join(first), words)[0][2] == 15
+
+
+def test_names_that_open_sentences_and_names_of_more_words():
+    changed = "Sue has 9 apples. Sue buys 4 more. How many apples does Sue have?"
+    assert in_text("Here. " + changed)[0][2:] == (14, 1.0, False)
+    assert in_text("Here. " + changed.replace("Sue", "John Smith"))[0][2:] == (14, 1.0, False)
+    assert in_text("Here. " + changed.replace("does Sue", "does Ann")) == []  # one name meets two
+    mary = "Yesterday old Mary Jones gave 4 pears to each of the 6 boys because Mary Jones likes them"
+    for name in ("Ann", "Ann Lee", "Ann Maria Lee"):
+        assert in_text(mary.replace("Mary Jones", name).replace("4", "8"), mary)[0][3] == 1.0
+
+
+def test_exact_copies_whatever_capitals():
+    short = "Which river runs through Paris?"
+    for item in (short, "Which river runs through the old town of Paris and 3 more?", TOM, ITEM):
+        for text in ("Q: " + item, 'He asked, "' + item + '"', "now, " + item, item.lower(), item.upper(), item.title()):
+            assert in_text(text, item)[0][3:] == (1.0, True), text
+    assert in_text("Which river runs through the town?", short) == []
+
+
+def test_lower_case_copy_is_found(spark):
+    assert (0, 1) in found(spark, [ITEM.lower()])
