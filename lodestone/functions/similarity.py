@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,9 +11,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 
-#: The best window of a longer shorter string is looked for at word starts only.
-EXACT_WINDOWS = 64
-
 
 def _masks(a: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -46,11 +44,29 @@ def partial_ratio(a: str, b: str) -> float:
     if a in b:
         return 1.0
     masks, n, best = _masks(a), len(a), 0.0
-    starts = range(1 - n, len(b)) if n <= EXACT_WINDOWS else [0, *(i + 1 for i, c in enumerate(b) if c == " "), len(b) - n]
-    for s in starts:
-        part = b[max(s, 0) : s + n]
-        if 2 * len(part) > best * (n + len(part)):
-            best = max(best, 2 * _common(n, masks, part) / (n + len(part)))
+    free = Counter(a)  # of each character how often a has it more than the window
+    shared, s = 0, 1 - n  # characters in common, in any order
+    for end in range(1, len(b) + n):
+        start = end - n
+        if end <= len(b):
+            c = b[end - 1]
+            shared += free[c] > 0
+            free[c] -= 1
+        if start > 0:
+            c = b[start - 1]
+            free[c] += 1
+            shared -= free[c] > 0
+        if start < s:
+            continue
+        part = min(end, len(b)) - max(start, 0)
+        if 2 * min(shared, part) <= best * (n + part):
+            continue
+        common = _common(n, masks, b[max(start, 0) : end])
+        best = max(best, 2 * common / (n + part))
+        # a step to the right adds one common character at most, and changes the size by one at most
+        s = start + 1
+        while s < len(b) and 2 * (common + s - start) <= best * (n + min(s + n, len(b)) - max(s, 0)):
+            s += 1
     return best
 
 

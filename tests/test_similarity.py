@@ -66,3 +66,14 @@ def test_overlaps(spark):
     assert [round(x, 6) for x in rows[0]] == [round(1 / 3, 6), 1, 0.5, 0.5, round(1 / 3, 6), 1, 1, 0]
     assert list(rows[1]) == [0] * 8
     assert rows[2]["addr_num_conflict"] == 1
+
+
+def test_partial_ratio_of_long_strings_tries_every_window():
+    rng = random.Random(2)
+    pairs = [("".join(rng.choice("abcde ") for _ in range(rng.randrange(65, 100))) for _ in range(2)) for _ in range(30)]
+    text = "".join(rng.choice("abcdefgh") for _ in range(80))
+    pairs += [(text, "xyz" * 9 + text[:40] + "-" + text[41:] + "zyx" * 9), (text, text[30:] + "w" * 60)]
+    for a, b in map(tuple, pairs):
+        short, long = sorted((a, b), key=len)
+        parts = [long[max(s, 0) : s + len(short)] for s in range(1 - len(short), len(long))]
+        assert S.partial_ratio(a, b) == max(S.ratio(short, p) for p in parts)
