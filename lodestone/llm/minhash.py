@@ -8,17 +8,20 @@ Jaccard similarity, with the concentration of t independent draws or better.
 Documents of equal shingle sets are one class. Classes that agree in all bins of a band share a bucket. Links are
 confirmed on full sets. A bucket's members are compared with its lead, so a bucket of very many copies costs as many
 comparisons as it has members. What the leads leave unconnected goes on to an exact second round, on the rarest shingles
-of the sets, so that no link between a bucket's members is missed.
+of the sets, so that no link between a bucket's members is missed. Both rounds drop a pair where they make it if the
+parities of the two sets differ in more bits than the sets of a link can differ in shingles; sets are joined after that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,6 +109,34 @@ def _sets(k: int, may_be_wanted):
 PER_SALT = 512
 
 
+#: Longs of a set's parities, 64 bits each.
+PARITY = 8
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """(node, n, p): the set's size, and for each of 64 * PARITY slots of shingles whether it has an odd number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.fromiter((len(x) for x in batch.column("set")), np.int64, batch.num_rows)
+            slots = batch.column("set").flatten().to_numpy().view(np.uint64) % np.uint64(64 * PARITY)
+            of = np.repeat(np.arange(batch.num_rows), sizes) * (64 * PARITY)
+            odd = np.bincount(of + slots.astype(np.int64), minlength=batch.num_rows * 64 * PARITY) & 1
+            words = np.packbits(odd.astype(bool)).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(words) + 1, PARITY, dtype=np.int32), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), lists], ["node", "n", "p"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, n long, p array<long>")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether (n, p) and (pivot_n, pivot_p) can be of sets that link. Parities differ in at most as many bits as the sets
+    have shingles apart, and of two sets that link at most (100 - percent) / (100 + percent) of both sizes are apart."""
+    apart = reduce(add, (F.bit_count(F.col("p")[i].bitwiseXOR(F.col("pivot_p")[i])) for i in range(PARITY)))
+    size = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    return size & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pivot_n")))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (pivot, node) whose full sets have at least `percent` of a hundred in common."""
     salts = kept(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")))
@@ -121,7 +152,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _open_parts(state: DataFrame) -> DataFrame:
     """(bucket, root, open, p, rank) of the connected parts of a bucket that still have nodes which were no pivots, the one
     with most of them first; p is the first of them. Only where a bucket has two such parts can it hide a link."""
-    own = F.struct("node", *(c for c in ("n", "most") if c in state.columns))
+    own = F.struct("node", *(c for c in ("n", "most", "p") if c in state.columns))
     parts = state.groupBy("bucket", "root").agg(F.count_if(~F.col("used")).alias("open"), F.min(F.when(~F.col("used"), own)).alias("p"))
     by = Window.partitionBy("bucket").orderBy(F.desc("open"), "root")
     return parts.where("open > 0").withColumn("rank", F.row_number().over(by))
@@ -174,16 +205,18 @@ def _shared(cells: DataFrame) -> DataFrame:
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the nodes that have links. members: bucket, node, n; a node's n is its set's size.
+    """(node, root) of the nodes that have links. members: bucket, node.
 
     First the lead of each bucket is compared with all others. Where members stay unconnected and were not compared, all
     nodes of the bucket go on to a second, exact round over cells: sets that are similar enough share one of their rare
     shingles. There pivots of all connected parts but the largest are compared with the other parts, until none is left.
     """
-    fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    lead = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    lead = kept(lead)
-    tried = kept(members.join(lead, "bucket").where("node <> pivot").where(fits).select("pivot", "node").distinct())
+    fits = _may_link(percent)
+    own = kept(_parities(sets))
+    lead_own = own.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("p").alias("pivot_p"))
+    lead = kept(members.groupBy("bucket").agg(F.min("node").alias("pivot")))
+    met = members.select("bucket", "node").join(lead, "bucket").where("node <> pivot").select("pivot", "node").distinct()
+    tried = kept(met.join(own, "node").join(lead_own, "pivot").where(fits).select("pivot", "node"))
     links = kept(_confirmed(tried, sets, percent))
     roots = kept(components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
     state = _state(members, roots, lead.select("bucket", F.col("pivot").alias("node")))
@@ -193,7 +226,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return roots
     cells = kept(_rare(sets.join(nodes, "node", "left_semi"), percent))
     least = cells.groupBy("bucket").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1").select("bucket", "least")
-    cells = kept(_shared(kept(cells.join(kept(least), "bucket").where("most >= least").drop("least"))))
+    cells = kept(_shared(kept(cells.join(kept(least), "bucket").where("most >= least").drop("least"))).join(own.select("node", "p"), "node"))
     fits = fits & (F.col("n") <= F.col("pivot_most")) & (F.col("pivot_n") <= F.col("most"))
     done = kept(cells.select("bucket", "node").limit(0))
     step = 0
@@ -201,7 +234,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         step += 1
         state = kept(_state(cells, roots, done))
         parts = _open_parts(state).where("rank > 1").withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy("open", "root"))).where(F.col("turn") <= 4 ** min(step, 15))
-        pivots = kept(parts.select("bucket", F.col("root").alias("pivot_root"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.most").alias("pivot_most")))
+        pivots = kept(parts.select("bucket", F.col("root").alias("pivot_root"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.most").alias("pivot_most"), F.col("p.p").alias("pivot_p")))
         if pivots.isEmpty():
             return roots
         pairs = state.join(pivots, "bucket").where("root <> pivot_root").where(fits)
@@ -231,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     linked = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = linked.groupBy("_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("_bands").alias("_bands"))
     classes = kept(classes.withColumn("node", F.monotonically_increasing_id()))
-    cells = classes.select("node", "n", F.explode("_bands").alias("bucket"))
+    cells = classes.select("node", F.explode("_bands").alias("bucket"))
     members = kept(_shared(cells))
     nodes = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("_key", "doc", "node"))
     wanted = key_filter(nodes.select(F.xxhash64("doc")))
