@@ -8,7 +8,10 @@
    generalised suffix array of them gives the longest match of every suffix. It is built by Lyndon grouping: groups of
    suffixes with one Lyndon prefix are taken in descending order and split by previous-smaller pointers; the second pass
    writes out the order of each group from the pointers, with no recursion and no renaming.
-4. Anchors with more than HOT distinct contexts have their windows counted by hash instead, so that no task holds them all.
+4. A group of more than HOT distinct contexts is split, so that no task holds them all. A window has some bytes before the
+   anchor and the rest behind it: where contexts share one, they share half of the possible bytes before it or half of those
+   behind it. Each context goes to two groups, by either half, and larger groups are split again in the same way, down to
+   groups whose contexts share one whole window.
 
 A filter of fixed size (a bitmap of hashed keys) keeps rows that cannot match out of the shuffles; when it fills up it
 lets rows pass, which costs time and changes nothing.
@@ -232,18 +235,18 @@ def _contexts(length: int):
 
 
 def _spanned(length: int):
-    """(gram, own, lo, hi) of the spans of each context. Rows come ordered by gram."""
+    """(gram, own, lo, hi) of the spans of each context. Rows come ordered by block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("gram", "own", "before", "context")))
+            yield from zip(*(batch.column(c).to_pylist() for c in ("block", "gram", "own", "before", "context")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for gram, group in groupby(rows(batches), lambda x: x[0]):
-            own = {x[1]: (x[2], x[3]) for x in group}
+        for _, group in groupby(rows(batches), lambda x: x[0]):
+            own = {x[1:3]: x[3:] for x in group}
             for key, spans in zip(own, shared_spans(list(own.values()), length)):
-                out += [(gram, key, a, b) for a, b in _merged(spans)]
+                out += [(*key, a, b) for a, b in _merged(spans)]
             if len(out) >= 10_000:
                 yield _batch(out)
                 out = []
@@ -255,20 +258,48 @@ def _spanned(length: int):
     return run
 
 
-def _windows(length: int):
-    """(gram, own, lo, window) for each window of a context around its anchor."""
+def _halves(length: int):
+    """Contexts dealt to two blocks each. A block is of windows with `least` to `most` bytes before the anchor, and its
+    contexts share all bytes that these have in common; one of the two has the lower half of that range, one the upper."""
+    rest = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gram, own, before, context in zip(*(batch.column(c).to_pylist() for c in ("gram", "own", "before", "context"))):
-                n = min(before, len(context) - length) + 1
-                if n > 0:
-                    keys = [xxhash.xxh3_128_digest((before - s).to_bytes(4, "big") + context[s : s + length]) for s in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([own] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(keys, pa.binary())], ["gram", "own", "lo", "window"])
+            rows, blocks, least, most = [], [], [], []
+            for i, (block, lo, hi, at, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "least", "most", "before", "context")))):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    if at >= a and len(x) - at >= length - b:
+                        rows.append(i)
+                        blocks.append(xxhash.xxh3_64_intdigest(block.to_bytes(8, "big", signed=True) + a.to_bytes(4, "big") + x[at - a : at + length - b]))
+                        least.append(a)
+                        most.append(b)
+            out = batch.take(pa.array(rows, pa.int64()))
+            for name, values, kind in (("block", signed(np.array(blocks, np.uint64)), pa.int64()), ("least", least, pa.int32()), ("most", most, pa.int32())):
+                out = out.set_column(out.schema.get_field_index(name), name, pa.array(values, kind))
+            yield out
 
     return run
 
 
+def _settled_spans(contexts: DataFrame, many: DataFrame, length: int, hot: int) -> DataFrame:
+    """(gram, own, lo, hi) of the spans of all contexts; many: the grams that have over `hot` of them."""
+    blocks = contexts.withColumns({"block": F.col("gram"), "least": F.lit(0), "most": F.lit(length - GRAM)})
+    few, large = blocks.join(many, "gram", "left_anti"), kept(blocks.join(many, "gram", "left_semi"))
+    whole = None
+    while not large.isEmpty():
+        halves = kept(large.mapInArrow(_halves(length), large.schema))
+        sizes = kept(halves.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"))
+        halves = kept(halves.join(sizes, "block"))
+        again = F.col("size") > hot
+        few = few.unionByName(halves.where(~again).drop("size"))
+        one = halves.where(again & (F.col("least") == F.col("most"))).select("gram", "own", (F.col("before") - F.col("least")).alias("lo"), (F.col("before") - F.col("least") + length).cast("int").alias("hi"))
+        whole = whole.union(one) if whole else one
+        large = halves.where(again & (F.col("least") < F.col("most"))).drop("size")
+    spans = few.repartition("block").sortWithinPartitions("block", "gram", "own").mapInArrow(_spanned(length), "gram long, own long, lo int, hi int")
+    return spans.union(whole) if whole else spans
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -298,7 +329,8 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 @settled
 def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """(_id, _key, spans): for documents, named by doc_id and the hash of the text, that have them, the spans (lo, hi) in
-    bytes covered by strings of `length` bytes that also start anywhere else. Spans may overlap and are in no order."""
+    bytes covered by strings of `length` bytes that also start anywhere else. Spans may overlap and are in no order. Anchors
+    with over `hot` distinct contexts are split."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     docs = _keyed(lean(docs))
@@ -309,7 +341,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     kinds = kept(near.groupBy("gram").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))  # a table of its own, so that a join on it can split hot grams
     near = kept(near.join(kinds, "gram"))
     whole = (F.col("at") - F.col("before")).alias("lo"), (F.col("at") + F.col("behind")).alias("hi")
-    alike = near.where(~F.col("mixed")).select("doc_id", "_text", *whole)
+    alike = near.where(~F.col("mixed")).select("doc_id", "_text", F.array(F.struct(*whole)).alias("spans"))
     mixed = near.where("mixed").drop("mixed")
     first = F.min(F.struct("doc_id", "_text", "at", "before", "behind")).alias("f")
     owns = kept(mixed.groupBy("gram", "own").agg(F.count("*").alias("n"), first))
@@ -319,19 +351,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     texts = texts.join(wanted, _same(texts, wanted)).select("text", "wanted")
     contexts = kept(texts.mapInArrow(_contexts(length), "gram long, own long, before int, context binary"))
     many = owns.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram")
-    few = contexts.join(many, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "own")
-    spans = few.mapInArrow(_spanned(length), "gram long, own long, lo int, hi int")
-    windows = contexts.join(many, "gram", "left_semi").mapInArrow(_windows(length), "gram long, own long, lo int, window binary")
-    windows = kept(windows.distinct())
-    again = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    spans = spans.union(windows.join(again, ["gram", "window"]).select("gram", "own", "lo", (F.col("lo") + length).cast("int").alias("hi")))
+    spans = _settled_spans(contexts, many, length, hot)
     copies = owns.where("n > 1").select("gram", "own", F.lit(0).alias("lo"), (F.col("f.before") + F.col("f.behind")).alias("hi"))
     spans = kept(spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("spans", _joined(F.col("spans"))))
+    # spans stay in arrays, one for each occurrence of an anchor, until they are a document's
     base = F.col("at") - F.col("before")
-    apart = mixed.join(spans, ["gram", "own"]).select("doc_id", "_text", base.alias("base"), F.explode("spans").alias("s"))
-    apart = apart.select("doc_id", "_text", (F.col("base") + F.col("s.lo")).alias("lo"), (F.col("base") + F.col("s.hi")).alias("hi"))
-    both = alike.union(apart).distinct()
-    return both.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    shifted = F.transform("spans", lambda x: F.struct((base + x["lo"]).alias("lo"), (base + x["hi"]).alias("hi")))
+    apart = mixed.join(spans, ["gram", "own"]).select("doc_id", "_text", shifted.alias("spans"))
+    both = alike.union(apart).groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"))
+    return both.agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
