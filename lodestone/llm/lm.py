@@ -1,18 +1,17 @@
-"""Scoring texts with a probabilistic suffix tree over the symbols of words.
-
-A text is its words and one end token. A word is its bytes and a closing space; its symbols are predicted from at most
-DEPTH symbols before them, of which the first is the space that opens the word, so that the probability of a text is the
-product over its tokens and a token has one probability wherever it stands. Tokens seen in training are counted whole,
-less a discount; the discounts' mass goes to the tree, which spells tokens and is grown on the distinct ones, as those are
-what new tokens resemble. A context becomes a state of the tree if its
-next-symbol distribution diverges enough from that of the context without its oldest symbol: the log-likelihood gained
-on the training text must pay for the state's symbols. The tree is closed under suffixes; states are smoothed by mixing
-in their parent's distribution, with the number of distinct next symbols as its weight, down to a uniform distribution.
-A symbol is scored in the longest suffix of its context that is a state.
-
-The corpus is read once. Each block of texts becomes a dictionary of its words and, for each text, how often which word of
-the dictionary occurs. Words are counted over all blocks; each distinct word is scored once; counts and scores go back to
-the blocks that asked, and a block's texts are added up beside its dictionary. No dictionary outgrows its block.
+"""Scoring texts with a probabilistic suffix tree over their symbols.
+
+A text's stream is its words, lower-cased, with one space before, between and after them, and an end symbol. Every symbol
+but the first space is predicted from the symbols before it, at most DEPTH of them and over the bounds of words, so that a
+text's score depends on the order of its words. A context becomes a state of the tree if its next-symbol distribution
+diverges enough from that of the context without its oldest symbol: the log-likelihood gained on the training texts must
+pay for the state and its symbols. The tree is closed under suffixes; states are smoothed by mixing in their parent's
+distribution, with the number of distinct next symbols as its weight, down to a uniform distribution over all symbols. A
+symbol is scored in the longest suffix of its context that is a state; a text's score is the sum over its symbols.
+
+Contexts are counted over all training texts, combined before they are shuffled. For the base score each block of texts
+becomes a dictionary of its words and, for each text, how often which word of the dictionary occurs. Words are counted over
+all blocks; counts go back to the blocks that asked, and a block's texts are added up beside its dictionary. No dictionary
+outgrows its block.
 """
 
 from __future__ import annotations
@@ -25,15 +24,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import kept, lean, raw, schema_of, space_words
 from lodestone.sources.shared import settled
 
 DEPTH = 5
-SYMBOLS = 257  # bytes and the end
+SYMBOLS = 256  # bytes; the line feed, which no word has, is the end
+#: Symbols that are packed at a time.
+CHUNK = 2 << 20
 #: Bytes of text in a block.
 BLOCK = 12 << 20
-#: Rows of a tree that may be broadcast, 16 bytes each; a larger one is joined with the words.
+#: Rows of a tree that may be broadcast, 16 bytes each; a larger one is joined with the symbols that blocks ask for.
 BROADCAST_ROWS = 4_000_000
 #: A state must gain this many nats for itself and for each of its symbols.
 STATE_COST, SYMBOL_COST = 3.0, 1.0
@@ -43,19 +45,26 @@ END = b"\n"
 # Symbols of a context and the symbol after it are packed into a long, the oldest first, under a leading byte 1.
 
 
-def packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed symbols of all words with their longest contexts, and the number of symbols of each word."""
-    sizes = np.fromiter((len(w) + (w != END) for w in words), np.int64, len(words))
-    x = np.frombuffer(b"".join([b" " + w + (b" " if w != END else b"") for w in words]), np.uint8).astype(np.int64)
-    starts = np.cumsum(sizes + 1) - (sizes + 1)
-    place = np.arange(len(x)) - np.repeat(starts, sizes + 1)
-    out = x.copy()
-    for j in range(1, DEPTH + 1):
-        own = place >= j
-        own[:j] = False
-        out[own] |= x[np.flatnonzero(own) - j] << (8 * j)
-    out |= np.int64(1) << (8 * (np.minimum(place, DEPTH) + 1))
-    return out[place > 0], sizes
+def stream(words: list[bytes]) -> bytes:
+    return b" ".join((b"", *words, END)) if words else b" " + END
+
+
+def packed(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed symbols of all streams with their longest contexts, and the place of the stream of each, in chunks."""
+    x = np.frombuffer(b"".join(streams), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
+    for a in range(0, len(x), CHUNK):
+        at = np.arange(a, min(a + CHUNK, len(x)))
+        of = np.searchsorted(ends, at, "right")
+        place = at - np.concatenate(([0], ends))[of]
+        head = max(a - DEPTH, 0)
+        y = x[head : at[-1] + 1].astype(np.int64)
+        out = y[a - head :].copy()
+        for j in range(1, DEPTH + 1):
+            own = np.flatnonzero(place >= j)
+            out[own] |= y[own + (a - head - j)] << (8 * j)
+        out |= np.int64(1) << (8 * (np.minimum(place, DEPTH) + 1))
+        yield out[place > 0], of[place > 0]
 
 
 def levels(keys: np.ndarray) -> np.ndarray:
@@ -71,24 +80,28 @@ def shortened(keys: np.ndarray, level: int) -> np.ndarray:
     return keys & ((1 << (8 * (level + 1))) - 1) | 1 << (8 * (level + 1))
 
 
-def _blocks(size: int):
-    """Rows of texts: (block, doc_id, held_out, n_tokens, words: ids and counts); rows of words: (block, id, word, trained)."""
+def _blocks(size: int, given):
+    """Rows of texts: (block, row, doc_id, held_out, n_tokens, words: ids and counts, score); rows of words: (block, id, word,
+    trained). given: a broadcast tree, or None; then there is the text's stream in place of its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, filled = TaskContext.get().partitionId() << 24, 0
         ids: dict[bytes, int] = {}
         trained: Counter[int] = Counter()
-        names = ["block", "doc_id", "held_out", "n_tokens", "words", "word", "trained"]
+        names = ["block", "row", "doc_id", "held_out", "n_tokens", "words", "word", "trained", "score", "stream"]
+        done = 0  # rows of the block so far
 
         def texts(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             n = len(rows)
-            d, h, t, w = zip(*rows) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(d, kind), pa.array(h, pa.bool_()), pa.array(t, pa.int64()), pa.array(w, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            d, h, t, w, own = zip(*rows) if rows else ([], [], [], [], [])
+            score = pa.array(summed(list(own), *given.value)) if given else pa.nulls(n, pa.float64())
+            streams = pa.nulls(n, pa.binary()) if given else pa.array(own, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(done, done + n), pa.int64()), pa.array(d, kind), pa.array(h, pa.bool_()), pa.array(t, pa.int64()), pa.array(w, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), score, streams], names)
 
         def dictionary(kind: pa.DataType) -> pa.RecordBatch:
             n = len(ids)
             counts = [trained.get(i, 0) for i in range(n)]
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.binary())], names)
 
         kind = pa.int64()
         for batch in batches:
@@ -104,15 +117,16 @@ def _blocks(size: int):
                         trained[i] += n
                 # three bytes for most words: the gap to the one before, and the count; long gaps and counts take eight
                 order = np.argsort(own)
-                rows.append((doc_id, held_out, len(words) + 1, _encoded(own[order], times[order])))
+                rows.append((doc_id, held_out, len(words) + 1, _encoded(own[order], times[order]), stream(words)))
                 filled += len(text or b"")
                 if filled > size:
                     yield texts(rows, kind)
                     yield dictionary(kind)
-                    rows, filled, block = [], 0, block + 1
+                    rows, filled, block, done = [], 0, block + 1, 0
                     ids.clear()
                     trained.clear()
             yield texts(rows, kind)
+            done += len(rows)
         yield dictionary(kind)
 
     return run
@@ -141,34 +155,35 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) for the symbols of words with contexts of every length."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+#: Distinct packed symbols that a task holds before it passes their counts on.
+HELD = 2_000_000
 
-    def flushed() -> pa.RecordBatch:
-        keys, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-        level, out = levels(keys), []
-        for k in range(DEPTH + 1):
-            own = level >= k
-            out.append(_summed(shortened(keys[own], k), n[own]))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "n"])
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) for the symbols of texts with their longest contexts."""
+    held, n_held = (np.empty(0, np.int64), np.empty(0, np.int64)), 0
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        keys, sizes = packed(batch.column("word").to_pylist())
-        held.append(_summed(keys, np.repeat(batch.column("n").to_numpy(), sizes)))
-        if sum(len(x[0]) for x in held) > 1_000_000:
-            yield flushed()
-    if held:
-        yield flushed()
-
-
-def grow(words: DataFrame, state_cost: float = STATE_COST, symbol_cost: float = SYMBOL_COST) -> tuple[DataFrame, DataFrame]:
-    """The tree of words (word binary, n): its rows (key, logp), a state and a symbol seen after it, and its states
-    (context, backoff), the log10 weight that an unseen symbol's probability in the parent state gets."""
+        for keys, _ in packed([stream(space_words(text or b"")) for text in raw(batch.column("text"))]):
+            fresh.append(_summed(keys, np.ones(len(keys), np.int64)))
+            n_held += len(fresh[-1][0])
+            if n_held >= HELD:
+                held = _summed(*(np.concatenate(x) for x in zip(held, *fresh)))
+                n_held, fresh = 0, []
+                if len(held[0]) >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["key", "n"])
+                    held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*(np.concatenate(x) for x in zip(held, *fresh)))], ["key", "n"])
+
+
+def grow(grams: DataFrame, state_cost: float = STATE_COST, symbol_cost: float = SYMBOL_COST) -> tuple[DataFrame, DataFrame]:
+    """The tree of (key, n), symbols with their longest contexts: its rows (key, logp), a state and a symbol seen after it,
+    and its states (context, backoff), the log10 weight that an unseen symbol's probability in the parent state gets."""
     low, tag = lambda level: F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, lambda level: F.call_function("shiftleft", F.lit(1).cast("long"), level)
     level = sum(((F.col("key") >= F.lit(1 << (8 * (k + 1)))).cast("int") for k in range(1, DEPTH + 1)), F.lit(0))
-    seen = words.where("n > 0").select("word", "n").mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    longest = kept(grams.groupBy("key").agg(F.sum("n").alias("n"))).withColumn("k", F.explode(F.sequence(F.lit(0), level)))
+    bits = (F.col("k") * 8 + 8).cast("int")
+    seen = longest.groupBy(F.col("key").bitwiseAND(low(bits)).bitwiseOR(tag(bits)).alias("key")).agg(F.sum("n").alias("n"))
     seen = kept(seen.withColumn("level", level).withColumn("context", F.shiftright("key", 8)))
     sums = kept(seen.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")))
     bits = (F.col("level") * 8).cast("int")
@@ -216,33 +231,41 @@ def log_probabilities(keys: np.ndarray, tree: tuple[np.ndarray, np.ndarray], sta
     return out
 
 
-def word_scores(words: DataFrame, tree: DataFrame, states: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """words (word, n, ...) with a column logp, the log10 probability of the word. The tree is broadcast while it has at
-    most `most` rows; a larger one is joined with the symbols of the words."""
-    tree, states = kept(tree), kept(states)
-    if tree.count() + states.count() <= most:
-        arrays = []
-        for df, name, value in ((tree, "key", "logp"), (states, "context", "backoff")):
-            got = df.toArrow()
-            order = np.argsort(got.column(name).to_numpy())
-            arrays.append((got.column(name).to_numpy()[order], got.column(value).to_numpy()[order]))
-        given = words.sparkSession.sparkContext.broadcast(tuple(arrays))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, sizes = packed(batch.column("word").to_pylist())
-                sums = np.concatenate(([0.0], np.cumsum(log_probabilities(keys, *given.value))))
-                ends = np.cumsum(sizes)
-                yield batch.append_column("logp", pa.array(sums[ends] - sums[ends - sizes]))
-
-        return words.mapInArrow(run, words.withColumn("logp", F.lit(0.0)).schema)
-
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes = packed(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(keys)], ["word", "gram"])
+def summed(streams: list[bytes], tree: tuple[np.ndarray, np.ndarray], states: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each stream."""
+    out = np.zeros(len(streams))
+    for keys, of in packed(streams):
+        distinct, at = np.unique(keys, return_inverse=True)
+        out += np.bincount(of, log_probabilities(distinct, tree, states)[at], len(streams))
+    return out
 
-    every = kept(words.select("word").mapInArrow(symbols, "word binary, gram long"))
+
+def broadcast_tree(tree: DataFrame, states: DataFrame, most: int):
+    """The tree and its states as a broadcast of sorted arrays; None if they have more than `most` rows."""
+    if tree.count() + states.count() > most:
+        return None
+    arrays = []
+    for df, name, value in ((tree, "key", "logp"), (states, "context", "backoff")):
+        got = df.toArrow()
+        order = np.argsort(got.column(name).to_numpy())
+        arrays.append((got.column(name).to_numpy()[order], got.column(value).to_numpy()[order]))
+    return tree.sparkSession.sparkContext.broadcast(tuple(arrays))
+
+
+def joined_scores(streams: DataFrame, tree: DataFrame, states: DataFrame) -> DataFrame:
+    """(block, row, score) of streams (block, row, stream). Each block asks once for each of its symbols with contexts; these
+    are joined with the tree, and the answers meet the block's streams."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_block = batch.column("block").to_numpy()
+            for keys, of in packed(batch.column("stream").to_pylist()):
+                block = of_block[of]
+                for b in np.unique(block):
+                    own = np.unique(keys[block == b])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(own)], ["block", "gram"])
+
+    every = kept(streams.mapInArrow(asked, "block long, gram long").distinct())
     size = sum(((F.col("gram") >= F.lit(1 << (8 * (k + 1)))).cast("int") for k in range(1, DEPTH + 1)), F.lit(0))
     bits = (F.col("k") * 8 + 8).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
@@ -254,39 +277,62 @@ def word_scores(words: DataFrame, tree: DataFrame, states: DataFrame, most: int
     fold = lambda a, x: F.when(a["hit"], a).otherwise(F.struct((a["sum"] + F.coalesce(x["logp"], x["backoff"], F.lit(0.0))).alias("sum"), x["logp"].isNotNull().alias("hit")))
     done = lambda a: F.when(a["hit"], a["sum"]).otherwise(a["sum"] - F.lit(float(np.log10(SYMBOLS))))
     scored = grams.groupBy("gram").agg(F.aggregate(steps, start, fold, done).alias("logp"))
-    sums = every.join(scored, "gram").groupBy("word").agg(F.sum("logp").alias("logp"))
-    return words.join(sums, "word")
+    told = every.join(scored, "gram").select("block", F.lit(0).alias("turn"), F.col("gram").alias("row"), "logp", F.lit(None).cast("binary").alias("stream"))
+    both = told.union(streams.select("block", F.lit(1).alias("turn"), "row", F.lit(0.0).alias("logp"), "stream"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, given = None, [], None
+        for batch in batches:
+            block_of, turns = batch.column("block").to_numpy(), batch.column("turn").to_numpy()
+            cuts = np.flatnonzero(np.diff(block_of) | np.diff(turns)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block_of)]):
+                if a == b:
+                    continue
+                own = batch.slice(a, b - a)
+                if block_of[a] != at:
+                    at, parts = block_of[a], []
+                if turns[a] == 0:
+                    parts.append((own.column("row").to_numpy(), own.column("logp").to_numpy()))
+                    continue
+                if parts:
+                    keys, logp = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(keys)
+                    given, parts = (keys[order], logp[order]), []
+                held, score = own.column("stream").to_pylist(), np.zeros(b - a)
+                for keys, of in packed(held):
+                    score += np.bincount(of, given[1][np.searchsorted(given[0], keys)], len(held))
+                yield pa.RecordBatch.from_arrays([own.column("block"), own.column("row"), pa.array(score)], ["block", "row", "score"])
+
+    return both.repartition("block").sortWithinPartitions("block", "turn").mapInArrow(run, "block long, row long, score double")
 
 
 @settled
 def score_texts(docs: DataFrame, held_out: Column, most: int = BROADCAST_ROWS, block: int = BLOCK) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from documents for which held_out is false. Null and empty texts have one token, the end. base_score adds
+    Learns from documents for which held_out is false. score is the log10 probability of the text's stream in the suffix
+    tree, which is broadcast while it has at most `most` rows; a larger one is joined, with equal scores. Null and empty
+    texts have one token, the end. base_score adds
     log10((c + 1) / (N + V + 1)) over the tokens: c is the token's count, N that of all and V of distinct training tokens.
     Equal rows are scored alike; an empty table gives no rows; other columns of docs are not read.
     """
     rows = lean(docs).select("doc_id", held_out.alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"block long, doc_id {kind}, held_out boolean, n_tokens long, words binary, word binary, trained long"
-    blocks = kept(rows.mapInArrow(_blocks(block), ddl))
+    tree, states = (kept(x) for x in grow(rows.where("not held_out").select("text").mapInArrow(_counted, "key long, n long")))
+    given = broadcast_tree(tree, states, most)
+    ddl = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, words binary, word binary, trained long, score double, stream binary"
+    blocks = kept(rows.mapInArrow(_blocks(block, given), ddl))
     asked = blocks.where("word is not null").select("block", F.col("n_tokens").alias("id"), "word", "trained")
     words = kept(asked.groupBy("word").agg(F.sum("trained").alias("n")))
-    totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = int(totals["n"]), int(totals["v"])
-    scored = word_scores(words, *grow(words.select("word", F.least("n", F.lit(1).cast("long")).alias("n"))), most)
-    if n_all:
-        # absolute discounting: what is taken from the tokens seen goes to the tree, which is grown on distinct tokens
-        discount = totals["once"] / (totals["once"] + 2 * totals["twice"]) if totals["twice"] else 0.5
-        own = F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * distinct * F.pow(F.lit(10.0), "logp")
-        scored = scored.withColumn("logp", F.log10(own / n_all))
-    answers = asked.select("block", "id", "word").join(scored, "word").select("block", "id", "n", "logp")
-    told = answers.select("block", F.lit(0).alias("turn"), F.col("id").alias("n_tokens"), F.col("n").alias("count"), "logp", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("words"))
-    texts = blocks.where("words is not null").select("block", F.lit(1).alias("turn"), "n_tokens", F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("logp"), "doc_id", "held_out", "words")
+    none = lambda kind: F.lit(None).cast(kind)
+    told = asked.select("block", "id", "word").join(words, "word").select("block", F.lit(0).alias("turn"), none("long").alias("row"), F.col("id").alias("n_tokens"), F.col("n").alias("count"), none(kind).alias("doc_id"), none("boolean").alias("held_out"), none("binary").alias("words"), none("double").alias("score"))
+    texts = blocks.where("words is not null").select("block", F.lit(1).alias("turn"), "row", "n_tokens", F.lit(0).cast("long").alias("count"), "doc_id", "held_out", "words", "score")
     both = told.union(texts).repartition("block").sortWithinPartitions("block", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, counts, logp, base = None, [], None, None, None
+        at, parts, counts, base = None, [], None, None
         for batch in batches:
             block_of = batch.column("block").to_numpy()
             turns = batch.column("turn").to_numpy()
@@ -298,20 +344,25 @@ def score_texts(docs: DataFrame, held_out: Column, most: int = BROADCAST_ROWS, b
                 if block_of[a] != at:
                     at, parts = block_of[a], []
                 if turns[a] == 0:
-                    parts.append((own.column("n_tokens").to_numpy(), own.column("count").to_numpy(), own.column("logp").to_numpy()))
+                    parts.append((own.column("n_tokens").to_numpy(), own.column("count").to_numpy()))
                     counts = None
                     continue
                 if counts is None or parts:
-                    ids, c, p = (np.concatenate(x) for x in zip(*parts))
-                    counts, logp = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-                    counts[ids], logp[ids] = c, p
+                    ids, c = (np.concatenate(x) for x in zip(*parts))
+                    counts = np.zeros(len(ids), np.int64)
+                    counts[ids] = c
                     base, parts = np.log10((counts + 1) / (n_all + distinct + 1)), []
-                known, first, second = [], [], []
+                known, first = [], []
                 for data in own.column("words"):
                     ids, times = _decoded(data.as_py())
                     known.append(int(times[counts[ids] > 0].sum()))
                     first.append(float(base[ids] @ times))
-                    second.append(float(logp[ids] @ times))
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), own.column("n_tokens"), pa.array(known, pa.int64()), pa.array([n_all] * len(known), pa.int64()), pa.array(first, pa.float64()), pa.array(second, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return both.mapInArrow(run, schema_of(docs, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+                yield pa.RecordBatch.from_arrays([own.column("block"), own.column("row"), own.column("doc_id"), own.column("held_out"), own.column("n_tokens"), pa.array(known, pa.int64()), pa.array([n_all] * len(known), pa.int64()), pa.array(first, pa.float64()), own.column("score")], ["block", "row", *names])
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = schema_of(docs, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = both.mapInArrow(run, T.StructType([*T.StructType.fromDDL("block long, row long").fields, *kinds.fields]))
+    if given is None:
+        streams = blocks.where("stream is not null").select("block", "row", "stream")
+        out = out.drop("score").join(joined_scores(streams, tree, states), ["block", "row"])
+    return out.select(*names)

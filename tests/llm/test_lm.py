@@ -37,14 +37,13 @@ def test_base_and_counts_against_plain(spark):
         assert rows[i]["score"] < 0
 
 
-def plain_tree(words, state_cost, symbol_cost):
+def plain_tree(streams, state_cost, symbol_cost):
     """The same tree from its definition: counts of symbols by context, states by divergence, probabilities by recursion."""
     seen = {}
-    for w, n in words.items():
-        s = b" " + w + (b" " if w != b"\n" else b"")
+    for s in streams:
         for i in range(1, len(s)):
             for k in range(min(i, lm.DEPTH) + 1):
-                seen.setdefault(s[i - k : i], Counter())[s[i]] += n
+                seen.setdefault(s[i - k : i], Counter())[s[i]] += 1
     states = {c for c in seen if len(c) <= 1}
     for c, own in seen.items():
         if len(c) > 1:
@@ -60,31 +59,32 @@ def plain_tree(words, state_cost, symbol_cost):
             return (own[x] + distinct * (p(context[1:], x) if context else 1 / lm.SYMBOLS)) / (total + distinct)
         return p(context[1:], x) if context else 1 / lm.SYMBOLS
 
-    def score(w):
-        s = b" " + w + (b" " if w != b"\n" else b"")
-        return sum(math.log10(p(s[max(0, i - lm.DEPTH) : i], s[i])) for i in range(1, len(s)))
+    return p
 
-    return score
+
+def plain_stream(text):
+    w = (text or "").encode().lower().split()
+    return b" " + b"".join(x + b" " for x in w) + b"\n"
 
 
 @pytest.mark.parametrize("most", [lm.BROADCAST_ROWS, 0])
-def test_tree_against_its_definition(spark, most):
+def test_tree_against_its_definition(spark, most, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 7)
     rng = random.Random(4)
-    words = {bytes(rng.choice(b"abc\x00\xff") for _ in range(rng.randrange(1, 9))): rng.randrange(1, 60) for _ in range(80)} | {b"\n": 30}
-    unseen = [b"abcabc", b"zz", b"a", b"\xff\x00"]
-    score = plain_tree(words, 1.0, 0.5)
-    df = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()] + [(bytearray(w), 0) for w in unseen if w not in words], "word binary, n long").repartition(3)
-    tree, states = lm.grow(df, 1.0, 0.5)
-    got = {bytes(r["word"]): r["logp"] for r in lm.word_scores(df, tree, states, most).collect()}
-    assert set(got) == set(words) | set(unseen)
-    assert got == pytest.approx({w: score(w) for w in got})
-    assert states.count() > 6
-
-
-def test_probabilities_of_symbols_sum_to_one():
-    keys = np.array([(1 << 16) | (ord(" ") << 8) | x for x in range(256)], np.int64)
-    none = (np.empty(0, np.int64), np.empty(0))
-    assert sum(10 ** lm.log_probabilities(keys, none, none)) == pytest.approx(256 / lm.SYMBOLS)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(12))) for _ in range(60)] + TEXTS
+    p = plain_tree([plain_stream(t) for i, t in enumerate(texts) if not held(i)], lm.STATE_COST, lm.SYMBOL_COST)
+    rows = {r["doc_id"]: r["score"] for r in lm.score_texts(frame(spark, texts).repartition(3), held_column(), most, block=200).collect()}
+    for i, t in enumerate(texts):
+        s = plain_stream(t)
+        assert rows[i] == pytest.approx(sum(math.log10(p(s[max(0, k - lm.DEPTH) : k], s[k])) for k in range(1, len(s))))
+    for context in (b"", b" ", b"a", b"e the", b"zq"):
+        assert sum(p(context, x) for x in range(256)) == pytest.approx(1)
+
+
+def test_score_depends_on_the_order_of_words(spark):
+    texts = ["aa bb"] * 40 + ["aa bb", "bb aa", "aa aa"]
+    rows = {r["doc_id"]: r["score"] for r in lm.score_texts(frame(spark, texts), F.col("doc_id") >= 40).collect()}
+    assert rows[40] > rows[41] + 1 and rows[40] > rows[42] + 1
 
 
 def test_small_blocks_give_the_same(spark):
