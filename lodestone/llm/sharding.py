@@ -1,60 +1,68 @@
 """Weighted placement of rows on a tree of regions, racks and shards, by built-in functions only.
 
-Every shard has, for each key, an exponential clock -ln(u)/weight whose u is a hash of key and shard name. A node's draw
-is the first ring below it, so a rack or region draws in proportion to the weights it holds; the key descends to the
-child that rings first at each level. A change of weights moves a key only into a subtree that gained weight or out of
-one that lost some, and a new shard takes keys into itself only.
+A key descends from level to level. At each level every child draws an exponential clock -ln(u)/weight, whose u is a hash
+of the key and the child's name and whose weight is the sum of the shards' below it; the child that rings first is taken.
+Draws of a level depend on the weights of that level's children alone, so a change of a shard's weight moves keys into or
+out of its region, its rack and itself, and keys that stay in another subtree stay in their place there. A row costs as
+many draws as the nodes on its way have children, however many shards there are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.common import kept
 
+#: Shards' weights by number, in racks by name, in regions by name. Names are part of the draws; a moved name moves its keys.
+Tree = dict[str, dict[str, dict[int, float]]]
+
 
-@dataclass(frozen=True)
-class Shard:
-    number: int
-    weight: float = 1.0
+def even_tree(shards: int, per_rack: int = 2, racks_per_region: int = 2) -> Tree:
+    """Shards 0 to shards-1 of equal weight, filled in rack by rack and region by region."""
+    tree: Tree = {}
+    for n in range(shards):
+        rack = n // per_rack
+        tree.setdefault(f"region {rack // racks_per_region}", {}).setdefault(f"rack {rack}", {})[n] = 1.0
+    return tree
 
 
-#: Regions of racks of shards.
-Tree = list[list[list[Shard]]]
+def with_shard(tree: Tree, number: int, weight: float = 1.0) -> Tree:
+    """The tree with one more shard, in a region of its own: no other node's weight changes, so keys move into it only."""
+    return tree | {f"region of {number}": {f"rack of {number}": {number: weight}}}
 
 
-def even_tree(shards: int, per_rack: int = 2, racks_per_region: int = 2) -> Tree:
-    """Shards 0 to shards-1 of equal weight, filled in rack by rack and region by region."""
-    racks = [[Shard(n) for n in range(i, min(i + per_rack, shards))] for i in range(0, shards, per_rack)]
-    return [racks[i : i + racks_per_region] for i in range(0, len(racks), racks_per_region)]
+def _children(named: dict[str, float]) -> Column:
+    return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight")) for name, weight in named.items()))
 
 
-def _clock(key: Column, shard: Shard) -> Column:
-    if shard.weight <= 0:
-        return F.lit(float("inf"))
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(f"shard-{shard.number}"), key), 11)
-    return -F.ln((bits.cast("double") + 0.5) * F.lit(2.0**-53)) / F.lit(float(shard.weight))
+def _drawn(children: Column, key: Column) -> Column:
+    """The place, from 1, of the child that rings first; of the first of them if several do."""
 
+    def clock(child: Column, at: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(child["name"], key), 11)
+        ring = -F.ln((bits.cast("double") + 0.5) * F.lit(2.0**-53)) / child["weight"]
+        return F.struct(F.when(child["weight"] > 0, ring).otherwise(F.lit(float("inf"))).alias("ring"), (at + 1).alias("at"))
 
-def _first(draws: Column) -> Column:
-    return F.array_position(draws, F.array_min(draws)).cast("int")
+    return F.array_min(F.transform(children, clock))["at"]
 
 
 def place(df: DataFrame, key: str, tree: Tree, to: str = "shard") -> DataFrame:
-    """Adds the shard number of each row. Rows of equal keys go together; a null key is a key like any other."""
-    clocks = F.array(*(F.array(*(F.array(*(_clock(F.col(key).cast("string"), s) for s in rack)) for rack in region)) for region in tree))
-    numbers = F.array(*(F.array(*(F.array(*(F.lit(s.number) for s in rack)) for rack in region)) for region in tree))
-    draw = F.transform(F.col("_clocks"), lambda region: F.array_min(F.transform(region, lambda rack: F.array_min(rack))))
-    out = df.withColumn("_clocks", clocks).withColumn("_region", _first(draw))
-    out = out.withColumn("_racks", F.element_at("_clocks", F.col("_region")))
-    out = out.withColumn("_rack", _first(F.transform("_racks", lambda rack: F.array_min(rack))))
-    leaf = _first(F.element_at("_racks", F.col("_rack")))
-    found = F.element_at(F.element_at(F.element_at(numbers, F.col("_region")), F.col("_rack")), leaf)
-    return out.withColumn(to, found).drop("_clocks", "_region", "_racks", "_rack")
+    """Adds the shard number of each row. Rows of equal keys go together; a null key is a key like any other. Shards of
+    weight 0 get rows only where all beside them have weight 0 too."""
+    own = F.col(key).cast("string")
+    total = lambda rack: sum(rack.values())
+    regions = _children({region: sum(map(total, racks.values())) for region, racks in tree.items()})
+    racks = F.array(*(_children({f"{region}/{rack}": total(x) for rack, x in own_racks.items()}) for region, own_racks in tree.items()))
+    shards = F.array(*(F.array(*(_children({f"shard {n}": w for n, w in rack.items()}) for rack in region.values())) for region in tree.values()))
+    numbers = F.array(*(F.array(*(F.array(*map(F.lit, rack)) for rack in region.values())) for region in tree.values()))
+    region, rack, leaf = (f"__{to}_{x}" for x in ("region", "rack", "leaf"))
+    out = df.withColumn(region, _drawn(regions, own))
+    out = out.withColumn(rack, _drawn(F.element_at(racks, F.col(region)), own))
+    out = out.withColumn(leaf, _drawn(F.element_at(F.element_at(shards, F.col(region)), F.col(rack)), own))
+    found = F.element_at(F.element_at(F.element_at(numbers, F.col(region)), F.col(rack)), F.col(leaf))
+    return out.withColumn(to, found).drop(region, rack, leaf)
 
 
 def numbered(df: DataFrame, group: str, to: str = "slot") -> DataFrame:
@@ -73,12 +81,13 @@ def numbered(df: DataFrame, group: str, to: str = "slot") -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, tree: Tree | None = None, grown: Tree | None = None) -> DataFrame:
-    """Places documents by doc_id: doc_id, text, size, text_crc32, law, shard, slot, grown_shard.
+    """Places documents by doc_id: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    A null text counts as empty, equal rows each get a slot, an empty table gives no rows, and other columns of docs are
+    grown_shard is the place in a tree with one more shard, which takes rows only into itself. A null text counts as empty, equal rows each get a slot, an empty table gives no rows, and other columns of docs are
     not read. Only sizes and checksums are shuffled; texts stay where they are read.
     """
-    tree, grown = tree or even_tree(8), grown or even_tree(9)
+    tree = tree or even_tree(8)
+    grown = grown or with_shard(tree, 1 + max(n for region in tree.values() for rack in region.values() for n in rack))
     utf8 = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(utf8).cast("long") + 1).alias("size"), F.crc32(utf8).alias("text_crc32"), F.lit("key").alias("law"))
     return numbered(place(place(rows, "doc_id", tree), "doc_id", grown, "grown_shard"), "shard")
