@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,7 +45,6 @@ def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(frame(spark).repartition(3), capacity=64).collect()
     pieces = defaultdict(list)
     for r in rows:
@@ -89,22 +90,44 @@ def test_shards(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
-def test_every_further_shard_takes_rows_only_into_itself(spark):
-    df = spark.range(500).withColumnRenamed("id", "k")
+def plain_place(key, tree):
+    def drawn(children):
+        def ring(name, weight):
+            u = (xxhash.xxh64_intdigest(key.encode(), xxhash.xxh64_intdigest(name.encode(), 42)) >> 11) + 0.5
+            return -math.log(u * 2**-53) / weight if weight else math.inf
+
+        return min(children, key=lambda x: ring(*x))[0]
+
+    region = drawn([(a, sum(sum(x.values()) for x in b.values())) for a, b in tree.items()])
+    rack = drawn([(f"{region}/{a}", sum(b.values())) for a, b in tree[region].items()]).split("/")[1]
+    return int(drawn([(f"shard {n}", w) for n, w in tree[region][rack].items()]).split()[1])
+
+
+def uneven(w):
+    return {"east": {"a": {0: 1.0, 1: w}, "b": {2: 1.0}}, "west": {"a": {3: 2.0}, "b": {4: 0.0, 5: 1.0}}}
+
+
+def test_places_against_the_plain_descent(spark):
+    for tree in (uneven(1.0), uneven(3.0), sharding.even_tree(7), sharding.with_shard(sharding.even_tree(8), 8, 0.5)):
+        rows = sharding.place(spark.range(700).withColumnRenamed("id", "k"), "k", tree).collect()
+        assert [r["shard"] for r in rows] == [plain_place(str(r["k"]), tree) for r in rows]
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
     for n in range(1, 12):
-        df = sharding.place(df, "k", sharding.even_tree(n), f"s{n}")
-    for r in df.collect():
-        for n in range(2, 12):
-            assert r[f"s{n}"] in (r[f"s{n - 1}"], n - 1)
+        tree = sharding.even_tree(n)
+        df = sharding.place(sharding.place(spark.range(300).withColumnRenamed("id", "k"), "k", tree, "a"), "k", sharding.with_shard(tree, n), "b")
+        assert df.where("a <> b").where(F.col("b") != n).isEmpty() and not df.where(F.col("b") == n).isEmpty()
 
 
-def test_weights_move_rows_only_where_they_changed(spark):
-    S = sharding.Shard
-    tree = lambda w: [[[S(0), S(1, w)], [S(2)]], [[S(3, 2.0)], [S(4, 0.0), S(5)]]]
-    df = sharding.place(sharding.place(spark.range(6000).withColumnRenamed("id", "k"), "k", tree(1.0), "a"), "k", tree(3.0), "b")
+def test_weights_move_rows_only_at_subtrees_that_changed(spark):
+    df = sharding.place(sharding.place(spark.range(6000).withColumnRenamed("id", "k"), "k", uneven(1.0), "a"), "k", uneven(3.0), "b")
     counts = {r["a"]: r["n"] for r in df.groupBy("a").agg(F.count("*").alias("n")).collect()}
     assert 4 not in counts and counts[3] == pytest.approx(2000, rel=0.1) and counts[0] == pytest.approx(1000, rel=0.15)
-    assert df.where("a <> b and b <> 1").isEmpty() and not df.where("a <> b").isEmpty()
+    moves = {(r["a"], r["b"]) for r in df.where("a <> b").select("a", "b").distinct().collect()}
+    assert moves and not any(a in (3, 5) and b in (3, 5) for a, b in moves)  # inside the region that kept its weights
+    assert not any(a in (0, 1, 2) and b in (3, 5) for a, b in moves)  # none leaves the subtree that gained
+    assert not any(a in (0, 1) and b == 2 for a, b in moves)
 
 
 def test_equal_rows_and_null_keys_get_slots(spark):
