@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -31,6 +32,34 @@ def test_languages(spark):
     assert langid.identify(df, None, held).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_letters_are_what_unicode_calls_letters(spark):
+    texts = ["½ ²", "①②", "Ⅷ 7", "x²", "ß", "мир", "中", "ª", "__ 12", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    model = langid.fit([("xx", np.eye(1, langid.FEATURES, dtype=np.float32)[0])])
+    rows = langid.identify(df, model, F.lit(False)).collect()
+    plain = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
+    assert len(rows) == 2 * len(texts) and all((r["lang_pred"] == "xx") == plain(texts[r["doc_id"]]) for r in rows)
+    assert langid.identify(df.limit(0), model, F.lit(False)).count() == 0
+
+
+def test_prediction_against_plain_votes():
+    """All comparisons of a family, counted one by one, and features of a long text that is hashed in segments."""
+    rng = np.random.default_rng(3)
+    rows = [(lang, v / np.linalg.norm(v)) for k, lang in enumerate(["de", "en", "es", "fr", "nl"]) for v in (rng.random((12, langid.FEATURES)) * (np.arange(langid.FEATURES) % 5 <= k)).astype(np.float32)]
+    model = langid.fit(rows)
+    for _, x in rows[::7]:
+        family = model.families[int(np.argmax([x @ w + b for w, b in model.family_machines]))] if len(model.families) > 1 else model.families[0]
+        votes = {a: sum(x @ model.machines[a, b][0] + model.machines[a, b][1] > 0 if (a, b) in model.machines else x @ model.machines[b, a][0] + model.machines[b, a][1] < 0 for b in family if b != a) for a in family}
+        assert votes[model.predict(x)[0]] == max(votes.values())
+
+
+def test_features_of_a_long_text_in_segments(monkeypatch):
+    text = "Ein langer Text, été, und noch ein Wort. " * 40
+    whole = langid.features(text)
+    monkeypatch.setattr(langid, "SEGMENT", 101)
+    assert np.allclose(whole, langid.features(text), atol=1e-6)
+
+
 def test_one_language_and_unknown_family():
     x = np.eye(4, langid.FEATURES, dtype=np.float32)
     assert langid.fit([("xx", x[0])]).predict(x[1])[0] == "xx"
