@@ -28,6 +28,7 @@ TEMPLATES = {
     "mit-text": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -38,6 +39,14 @@ TEMPLATES = {
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "agpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
 }
 
@@ -122,13 +131,14 @@ class Scanner:
         ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).astype(np.int8), [0]))))
         chains: list[list[int]] = []  # template, first, last in text, last in template, covered
+        opened: list[list[list[int]]] = [[] for _ in self.labels]  # of each template, those that a match can still join
         for a, b in zip(known[::2].tolist(), known[1::2].tolist()):
             if b - a < self.min_match:
                 continue
             for end, n, s in self.automaton.matches(ids[a:b].tolist()):
                 if n >= self.min_match:
                     for k, at in sorted(self.automaton.states[s].ends):
-                        self._chain(chains, k, a + end, at, n)
+                        self._chain(chains, opened[k], k, a + end, at, n)
         found = [(self.labels[k], first, last, covered / self.lengths[k], covered) for k, first, last, _, covered in chains if covered >= self.min_cover * self.lengths[k]]
         found.sort(key=lambda x: (-x[4], -x[3], x[1], x[0]))
         taken: list[tuple] = []
@@ -137,14 +147,17 @@ class Scanner:
                 taken.append(x)
         return sorted((x[:4] for x in taken), key=lambda x: (x[1], x[0]))
 
-    def _chain(self, chains: list[list[int]], k: int, end: int, at: int, n: int) -> None:
-        for c in reversed(chains[-64 * len(self.labels) :]):
-            if c[0] == k and end - n - c[2] <= self.max_gap and at > c[3] and end > c[2]:
+    def _chain(self, chains: list[list[int]], opened: list[list[int]], k: int, end: int, at: int, n: int) -> None:
+        # matches start in ascending order, so a chain that ended too far before one is closed for good
+        opened[:] = [c for c in opened if end - n - c[2] <= self.max_gap]
+        for c in reversed(opened):
+            if at > c[3] and end > c[2]:
                 new = min(n, at - c[3], end - c[2])
                 if at - new - c[3] <= self.max_gap and new > 0:
                     c[2:] = [end, at, c[4] + new]
                     return
-        chains.append([k, end - n + 1, end, at, n])
+        opened.append([k, end - n + 1, end, at, n])
+        chains.append(opened[-1])
 
 
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -169,7 +182,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     score: the largest covered part of a template among the spans, 1 where a phrase stands, else 0. Null texts count as
-    empty: no words, no labels, score 0. Nothing is shuffled; other columns of docs are not read.
+    empty: no words, no labels, score 0. Equal rows each get their result; an empty table gives no rows. Where spans of
+    several templates meet, the one that covers most words is taken, then the larger part of a template, the earlier start
+    and the first label. Nothing is shuffled; other columns of docs are not read.
     """
     schema = schema_of(lean(docs), SCHEMA)
     templates = templates or TEMPLATES

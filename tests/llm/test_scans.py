@@ -39,6 +39,63 @@ def test_spans(spark):
     assert rows[2]["labels"] == "" and rows[4]["labels"] == "" and rows[3]["labels"] == "cc-by-nc-4.0"
 
 
+def plain_spans(templates, words, min_match, max_gap, min_cover):
+    """The same spans from all maximal matches, found by comparing every pair of places, with every chain kept open."""
+    chains, found = [], []
+    words = [w.encode() for w in words]
+    for i in range(len(words)):
+        for k, t in enumerate(templates):
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                    n += 1
+                found.append((i, i + n - 1, n, k, j + n - 1))
+    reach = {i: max(x[2] for x in found if x[0] == i) for i in range(len(words))}
+    # a match counts if it is the longest of all templates from its start, and no longer one ends in the same word
+    for i, end, n, k, at in sorted(found, key=lambda x: (x[1], x[3], x[4])):
+        if n < min_match or n != reach[i] or (i and reach[i - 1] == n + 1):
+            continue
+        for c in reversed(chains):
+            new = min(n, at - c[3], end - c[2])
+            if c[0] == k and end - n - c[2] <= max_gap and new > 0 and at - new - c[3] <= max_gap:
+                c[2:] = [end, at, c[4] + new]
+                break
+        else:
+            chains.append([k, i, end, at, n])
+    good = sorted(([str(k), a, b, c / len(templates[k]), c] for k, a, b, _, c in chains if c >= min_cover * len(templates[k])), key=lambda x: (-x[4], -x[3], x[1], x[0]))
+    taken = []
+    for x in good:
+        if all(x[2] < y[1] or x[1] > y[2] for y in taken):
+            taken.append(x)
+    return sorted((tuple(x[:4]) for x in taken), key=lambda x: (x[1], x[0]))
+
+
+def test_spans_against_every_match():
+    rng = random.Random(5)
+    for _ in range(60):
+        templates = [[rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(4, 14))] for _ in range(3)]
+        scanner = licenses.Scanner({str(k): [" ".join(t)] for k, t in enumerate(templates)}, 2, 3, 0.5)
+        words = []
+        for _ in range(6):
+            t = rng.choice(templates)
+            a = rng.randrange(len(t))
+            words += t[a : a + rng.randrange(2, 9)] + [rng.choice("xyab") * 2 for _ in range(rng.randrange(4))]
+        assert scanner.spans([w.encode() for w in words]) == plain_spans([[w.encode() for w in t] for t in templates], words, 2, 3, 0.5)
+
+
+def test_a_long_template_between_many_short_ones():
+    long, short = [f"l{i}" for i in range(400)], [f"s{i}" for i in range(4)]
+    scanner = licenses.Scanner({"long": [" ".join(long)]} | {f"s{k}": [" ".join(short)] for k in range(3)}, 4, 12, 0.6)
+    words = [w for i in range(0, 400, 5) for w in long[i : i + 5] + short]
+    assert ("long", 0, 80 * 9 - 5, 1.0) in scanner.spans([w.encode() for w in words])
+
+
+def test_repeated_rows_and_an_empty_table(spark):
+    df = spark.createDataFrame([(1, MIT, "x")] * 3, "doc_id long, text string, labels string")
+    assert [r["labels"] for r in licenses.scan_licenses(df).collect()] == ["mit-text"] * 3
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
 def test_automaton_knows_every_run():
     rng = random.Random(1)
     seqs = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(5)]
