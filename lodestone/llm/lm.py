@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -52,19 +53,25 @@ def stream(words: list[bytes]) -> bytes:
 def packed(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The packed symbols of all streams with their longest contexts, and the place of the stream of each, in chunks."""
     x = np.frombuffer(b"".join(streams), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    ends = np.cumsum(sizes)
     for a in range(0, len(x), CHUNK):
-        at = np.arange(a, min(a + CHUNK, len(x)))
-        of = np.searchsorted(ends, at, "right")
-        place = at - np.concatenate(([0], ends))[of]
-        head = max(a - DEPTH, 0)
-        y = x[head : at[-1] + 1].astype(np.int64)
-        out = y[a - head :].copy()
+        b, head = min(a + CHUNK, len(x)), max(a - DEPTH, 0)
+        first, last = np.searchsorted(ends, (a, b - 1), "right")
+        bounds = np.clip(np.concatenate((ends[first : last + 1] - sizes[first : last + 1], ends[last : last + 1])), a, b) - a
+        of = np.repeat(np.arange(first, last + 1), np.diff(bounds))
+        y = np.concatenate((np.zeros(DEPTH - (a - head), np.int64), x[head:b].astype(np.int64)))
+        out = y[DEPTH:] | np.int64(1) << (8 * (DEPTH + 1))
         for j in range(1, DEPTH + 1):
-            own = np.flatnonzero(place >= j)
-            out[own] |= y[own + (a - head - j)] << (8 * j)
-        out |= np.int64(1) << (8 * (np.minimum(place, DEPTH) + 1))
-        yield out[place > 0], of[place > 0]
+            out |= y[DEPTH - j : len(y) - j] << (8 * j)
+        keep = np.ones(b - a, bool)
+        for place in range(DEPTH):  # the first symbols of a stream have shorter contexts
+            at = (ends - sizes)[first : last + 1] + place - a
+            at = at[(at >= 0) & (at < b - a) & (sizes[first : last + 1] > place)]
+            out[at] = out[at] & ((1 << (8 * (place + 1))) - 1) | 1 << (8 * (place + 1))
+            if not place:
+                keep[at] = False
+        yield out[keep], of[keep]
 
 
 def levels(keys: np.ndarray) -> np.ndarray:
@@ -148,6 +155,12 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), counts
 
 
+def _sorted_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
@@ -165,7 +178,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for keys, _ in packed([stream(space_words(text or b"")) for text in raw(batch.column("text"))]):
-            fresh.append(_summed(keys, np.ones(len(keys), np.int64)))
+            fresh.append(_sorted_counts(keys))
             n_held += len(fresh[-1][0])
             if n_held >= HELD:
                 held = _summed(*(np.concatenate(x) for x in zip(held, *fresh)))
@@ -235,7 +248,7 @@ def summed(streams: list[bytes], tree: tuple[np.ndarray, np.ndarray], states: tu
     """log10 of the probability of each stream."""
     out = np.zeros(len(streams))
     for keys, of in packed(streams):
-        distinct, at = np.unique(keys, return_inverse=True)
+        at, distinct = pd.factorize(keys)
         out += np.bincount(of, log_probabilities(distinct, tree, states)[at], len(streams))
     return out
 
