@@ -41,9 +41,9 @@ def country_blocks(s1: DataFrame, targets: DataFrame, by_country: bool = True, s
     return left, b.select("tgt_id", "source", F.explode(own).alias("block"))
 
 
-def scored_pairs(s1: DataFrame, targets: DataFrame, blocker: str, max_df: int = 2000, by_country: bool = True) -> DataFrame:
+def scored_pairs(s1: DataFrame, targets: DataFrame, blocker: str, max_df: int = 2000, by_country: bool = True, given: DataFrame | None = None) -> DataFrame:
     """(s1_id, tgt_id, source, score): the cosine of all pairs in a block that share a term, to six decimals, over 0."""
-    q, t = tfidf(s1, targets, blocker, max_df)
+    q, t = tfidf(s1, targets, blocker, max_df, given)
     left, right = country_blocks(s1, targets, by_country)
     q = q.join(left, ["s1_id", "source"])
     t = t.join(right, ["tgt_id", "source"]).withColumnRenamed("w", "v")
@@ -123,12 +123,12 @@ def union_candidates(tops: dict[str, DataFrame], scores: dict[str, DataFrame], k
     return pairs.withColumns(ranks).withColumn("is_s2", (F.col("source") == "S2").cast("tinyint"))
 
 
-def generate_candidates(s1: DataFrame, targets: DataFrame, k: int = 10, max_df: int = 2000, by_country: bool = True, embeddings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def generate_candidates(s1: DataFrame, targets: DataFrame, k: int = 10, max_df: int = 2000, by_country: bool = True, embeddings: tuple[DataFrame, DataFrame] | None = None, given: dict[str, DataFrame] | None = None) -> DataFrame:
     """Candidate pairs of normalized records; both sources, and those without any record, in one plan.
 
-    embeddings: (entity_id, vector) of S1 and targets, for a third blocker.
+    embeddings: (entity_id, vector) of S1 and targets, for a third blocker. given: frequencies by blocker, see tfidf().
     """
-    scores = {b: scored_pairs(s1, targets, b, max_df, by_country) for b in ("name", "combined")}
+    scores = {b: scored_pairs(s1, targets, b, max_df, by_country, (given or {}).get(b)) for b in ("name", "combined")}
     tops = {b: top_k(df, k) for b, df in scores.items()}
     if embeddings:
         left, right = country_blocks(s1, targets, by_country)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,16 +93,31 @@ def threshold_sweep(pairs: DataFrame, truth_counts: DataFrame, score: str = "sco
 def tune_threshold(pairs: DataFrame, truth_counts: DataFrame, score: str = "score", per_source: bool = False, grid: list[float] | None = None, max_per_s1: int | None = None, resolve_conflicts: bool = True) -> tuple[Threshold, float]:
     """The threshold of the best macro F0.5, the lowest of several, and that score.
 
-    per_source: from the best single threshold on, each source's is tuned in turn, twice, with the other's held.
+    per_source: from the best single threshold on, each source's is tuned in turn, twice, with the other's held; four sweeps,
+    or, with max_per_s1, whose choice among both sources depends on both thresholds, a decision for each trial. Warns where
+    the best single threshold is at an edge of the grid.
     """
     rows = threshold_sweep(pairs, truth_counts, score, grid, resolve_conflicts, max_per_s1).collect()  # a row for each threshold
     best = max(rows, key=lambda r: (round(r["macro_f05"], 12), -r["threshold"]))
     found, value = best["threshold"], best["macro_f05"]
+    if len(rows) > 2 and found in (min(r["threshold"] for r in rows), max(r["threshold"] for r in rows)):
+        warnings.warn(f"the best threshold, {found:.2f}, is at an edge of the grid", stacklevel=2)
     if not per_source:
         return found, value
     from lodestone.operators.metrics import evaluate_decision
 
     now = {"S2": found, "S3": found}
+    if max_per_s1 is None:
+        # a target's winner depends on no threshold, so the held source's pairs that pass count at every step of a sweep
+        own = resolved(pairs, score) if resolve_conflicts else pairs
+        for source, other in [("S2", "S3"), ("S3", "S2")] * 2:
+            trial = own.where((F.col("source") == source) | (F.col(score) >= now[other]))
+            trial = trial.withColumn(score, F.when(F.col("source") == source, F.col(score)).otherwise(F.lit(float("inf"))))
+            rows = threshold_sweep(trial, truth_counts, score, grid, False).collect()
+            best = max(rows, key=lambda r: (round(r["macro_f05"], 12), -r["threshold"]))
+            if best["macro_f05"] > value + 1e-12:
+                now, value = now | {source: best["threshold"]}, best["macro_f05"]
+        return now, value
     for _ in range(2):
         for source in now:
             for g in sorted(GRID if grid is None else grid):

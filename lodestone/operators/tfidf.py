@@ -45,16 +45,26 @@ def weighted(counts: DataFrame, idf: DataFrame, group: list[str], keys: list[str
     return w.withColumn("w", F.col("w") / norm).select(*keys, "term", "w")
 
 
-def tfidf(s1: DataFrame, targets: DataFrame, blocker: str, max_df: int = 2000) -> tuple[DataFrame, DataFrame]:
+def frequencies(targets: DataFrame, blocker: str) -> DataFrame:
+    """(source, term, df, n): in how many of the n targets of a source the term is."""
+    t = term_counts(targets.withColumnRenamed("entity_id", "tgt_id"), blocker_text(blocker), ["tgt_id", "source"])
+    return document_frequencies(t, ["source"]).join(F.broadcast(targets.groupBy("source").agg(F.count("*").alias("n"))), "source")
+
+
+def tfidf(s1: DataFrame, targets: DataFrame, blocker: str, max_df: int = 2000, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Posting lists of S1, (s1_id, source, term, w), and of the targets, (tgt_id, source, term, w).
 
     Document frequencies are the targets' of each source, whatever their country; terms of more than max_df targets go
-    before any join, which bounds what a term can match.
+    before any join, which bounds what a term can match. given: the frequencies (source, term, df, n) to be taken instead,
+    where targets are a part of more; a term that they lack doesn't count.
     """
     text = blocker_text(blocker)
     t = term_counts(targets.withColumnRenamed("entity_id", "tgt_id"), text, ["tgt_id", "source"])
     n = targets.groupBy("source").agg(F.count("*").alias("n"))
-    freq = document_frequencies(t, ["source"]).where(F.col("df") <= max_df)
+    freq = document_frequencies(t, ["source"])
+    if given is not None:
+        n, freq = given.select("source", "n").distinct(), given.select("source", "term", "df")
+    freq = freq.where(F.col("df") <= max_df)
     idf = freq.join(F.broadcast(n), "source").select("source", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     q = term_counts(s1.withColumnRenamed("entity_id", "s1_id"), text, ["s1_id"])
     own = q.join(idf, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))

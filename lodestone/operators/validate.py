@@ -19,6 +19,13 @@ def exploded(lists: DataFrame) -> DataFrame:
     return lists.select("entity_id", F.explode(parse_id_list(F.col("ids"))).alias("id"))
 
 
+def read_lists(table: DataFrame, column: str) -> DataFrame:
+    """(entity_id, ids) of a submitted table; ValueError where its header is not source1_entity_id and `column`, in order."""
+    if table.columns != ["source1_entity_id", column]:
+        raise ValueError(f"the header is {table.columns} and must be source1_entity_id, {column}")
+    return table.toDF("entity_id", "ids")
+
+
 def list_problems(lists: DataFrame, table: str) -> DataFrame:
     """Repeated S1 ids, and repeated ids within a list."""
     rows = lists.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1")

@@ -27,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--mode", choices=["validate", "loco", "test"], default="validate")
     run.add_argument("--sample-s1", type=int)
     run.add_argument("--no-cache", action="store_true")
+    run.add_argument("--embeddings", help="Parquet of (entity_id, vector) for a third blocker")
+    run.add_argument("--strict-split", action="store_true", help="validate: held-out labels reach no pruner")
     run.add_argument("--trees", type=int, help="trees of pruner and matcher at most")
     for verb in ("profile", "empty", "check"):
         own = sub.add_parser(verb)
@@ -62,13 +64,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.verb == "check":
         s1, s2, s3 = _sources(spark, paths, a.split)
-        lists = [tsv.read_tsv(spark, p).toDF("entity_id", "ids") for p in (paths.matching, paths.candidates)]
+        files = (paths.matching, "matched_entity_ids"), (paths.candidates, "candidate_entity_ids")
+        try:
+            lists = [validate.read_lists(tsv.read_tsv(spark, p), c) for p, c in files]
+        except ValueError as e:
+            print(f"FAIL: {e}")
+            return 1
         problems = validate.validate_outputs(*lists, s1, s2.unionByName(s3)).cache()
         problems.groupBy("check", "table").agg(F.count("*").alias("n")).show(50, False)
         ok = validate.passes(problems)
         print("PASS" if ok else "FAIL")
         return int(not ok)
-    config = Config()
+    config = Config(embeddings=a.embeddings, strict_split=a.strict_split)
     if a.trees:
         config = config.but(pruner=config.pruner | {"maxIter": a.trees}, matcher=config.matcher | {"maxIter": a.trees})
     train = pipeline.load_split(spark, paths, "train", config, a.sample_s1 if a.mode != "test" else None, not a.no_cache)
@@ -78,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
         info = pipeline.run_loco(train, config)
     else:
         info = pipeline.run_test(train, pipeline.load_split(spark, paths, "test", config, None, not a.no_cache), config, paths)
-    print(pipeline.save_run_info(paths.output, a.mode, info))
+    print(pipeline.save_run_info(spark, paths.output, a.mode, info, config))
     return 0
 
 

@@ -54,7 +54,8 @@ class Config:
     holdout: float = 0.2
     seed: int = 42
     loco_min_s1: int = 50
-    strict_split: bool = False  # True: the pruner never sees a held-out record's labels
+    strict_split: bool = False  # True: in validate the pruner never sees a held-out record's labels
+    embeddings: str | None = None  # Parquet of (entity_id, vector) of all records, for a third blocker
 
     def but(self, **changes) -> Config:
         return replace(self, **changes)

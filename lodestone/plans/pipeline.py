@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +48,8 @@ def load_split(spark: SparkSession, paths: Paths, split: str, config: Config, sa
 def build_candidates(split: Split, config: Config, pruner: Model | None = None) -> tuple[DataFrame, Model | None]:
     """Pruned candidate pairs with pruner_prob (and label), and the pruner. Without a pruner, out-of-fold pruners score
     the pairs and one is fitted on all of them for other splits."""
-    pairs = settled(generate_candidates(split.s1, split.targets, config.top_k, config.max_df, config.by_country))
+    vectors = split.s1.sparkSession.read.parquet(config.embeddings) if config.embeddings else None
+    pairs = settled(generate_candidates(split.s1, split.targets, config.top_k, config.max_df, config.by_country, (vectors, vectors) if config.embeddings else None))
     rows, names = features.pruner_features(pairs, split.s1, split.targets)
     if pruner is None:
         rows = settled(links.labelled(rows, split.truth))
@@ -73,19 +74,33 @@ def _kept(scored: DataFrame, threshold: decide.Threshold, config: Config) -> Dat
     return decide.decide(scored, threshold, "score", config.resolve_conflicts, config.max_per_s1)
 
 
-def save_run_info(path: str, mode: str, info: dict) -> dict:
-    out = {"mode": mode, "time": time.strftime("%Y-%m-%d %H:%M:%S")} | info
-    with open(f"{path}/run_info_{mode}.json", "w") as f:
-        json.dump(out, f, indent=2, default=str)
+def save_run_info(spark: SparkSession, path: str, mode: str, info: dict, config: Config) -> dict:
+    """The mode, the time, all settings and the results, written as JSON to the output folder, in whatever store it is."""
+    out = {"mode": mode, "time": time.strftime("%Y-%m-%d %H:%M:%S"), "config": asdict(config)} | info
+    tsv.write_text(spark, f"{path}/run_info_{mode}.json", json.dumps(out, indent=2, default=str))
     return out
 
 
+def part_of(split: Split, ids: DataFrame) -> Split:
+    """The split with the S1 records of ids (s1_id) only, and all targets."""
+    own = lambda df: df.join(ids, "s1_id", "left_semi")
+    return Split(split.s1.join(ids.withColumnRenamed("s1_id", "entity_id"), "entity_id", "left_semi"), split.targets, own(split.truth), own(split.truth_counts), own(split.links))
+
+
 def run_validate(split: Split, config: Config, error_path: str | None = None) -> dict:
-    """Fits on a part of the S1 records and scores the others."""
-    pairs, _ = build_candidates(split, config)
-    rows, names = matcher_rows(pairs, split, config)
+    """Fits on a part of the S1 records and scores the others. With strict_split the held-out records' candidates come from
+    a pruner fitted on the others' alone; else out-of-fold pruners of all records prune."""
     rest, held = links.holdout_split(split.s1, config.holdout, config.seed)
-    dev = rows.join(rest, "s1_id", "left_semi")
+    if config.strict_split:
+        dev_pairs, pruner = build_candidates(part_of(split, rest), config)
+        own = part_of(split, held)
+        held_pairs = links.labelled(build_candidates(own, config, pruner)[0], own.truth)
+        dev, names = matcher_rows(dev_pairs, split, config)
+        rows = matcher_rows(held_pairs, split, config)[0]
+    else:
+        pairs, _ = build_candidates(split, config)
+        rows, names = matcher_rows(pairs, split, config)
+        dev = rows.join(rest, "s1_id", "left_semi")
     matcher, threshold, oof, _ = model.fit_matcher(dev, names, split.truth_counts.join(rest, "s1_id", "left_semi"), config.matcher, config.match_folds, settled, **_tuning(config))
     scored = settled(model.scored(rows.join(held, "s1_id", "left_semi"), names, matcher))
     kept = _kept(scored, threshold, config)

@@ -15,6 +15,9 @@ from lodestone.sources.shared import kept
 #: Targets that a term may be in at most, and candidates per blocker and source.
 MAX_DF, TOP_K = 50, 5
 
+#: Columns that links and blocking read.
+_TEXT, _BLOCKED = ["business_name", "business_address"], ["name_core", "name_norm", "address_norm", "country_norm"]
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -157,41 +160,41 @@ def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_RECORDS) + " SELECT entity_id, name_norm, name_core FROM rec")
 def name_core_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, ["name_norm", "name_core"])
     return s1.union(tg).select("entity_id", "name_norm", "name_core")
 
 
 @query(_with(_RECORDS) + " SELECT entity_id, postal_codes, house_number, address_numbers FROM rec")
 def postal_house_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, ["postal_codes", "house_number", "address_numbers"])
     return s1.union(tg).select("entity_id", "postal_codes", "house_number", "address_numbers")
 
 
 @query(_with(_RECORDS, _LINKS) + " SELECT s1_id, tgt_id AS cand_id, true AS known FROM truth")
 def ground_truth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _TEXT)
     return links.resolve_links(links.ground_truth_links(R.ground_truth(s1, tg)), s1, tg)
 
 
 @query(_with(_RECORDS, _blocked_sql("name")) + " SELECT tgt_id, source, term, round(w, 6) AS w FROM n_t")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, ["name_core"])
     return _rounded(tfidf.tfidf(s1, tg, "name", MAX_DF)[1])
 
 
 @query(_with(_RECORDS, _blocked_sql("name")) + " SELECT s1_id, tgt_id, source, score, CAST(rank AS INTEGER) AS rank FROM n_top")
 def block_name_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.top_k(blocking.scored_pairs(*R.records(spark, sf_dir), "name", MAX_DF), TOP_K)
+    return blocking.top_k(blocking.scored_pairs(*R.records(spark, sf_dir, ["name_core", "country_norm"]), "name", MAX_DF), TOP_K)
 
 
 @query(_with(_RECORDS, _blocked_sql("combined")) + " SELECT s1_id, tgt_id, source, score, CAST(rank AS INTEGER) AS rank FROM c_top")
 def block_combined_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.top_k(blocking.scored_pairs(*R.records(spark, sf_dir), "combined", MAX_DF), TOP_K)
+    return blocking.top_k(blocking.scored_pairs(*R.records(spark, sf_dir, ["name_norm", "address_norm", "country_norm"]), "combined", MAX_DF), TOP_K)
 
 
 @query(_with(_RECORDS, _PAIRS) + " SELECT * FROM pairs")
 def block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(*R.records(spark, sf_dir))
+    return _pairs(*R.records(spark, sf_dir, _BLOCKED))
 
 
 @query(_with(_RECORDS) + """
@@ -199,7 +202,7 @@ SELECT source, s1.country_norm AS s1_country, tg.country_norm AS tgt_country, co
   ON s1.country_norm = tg.country_norm OR s1.country_norm = '' OR tg.country_norm = '' OR s1.country_norm NOT IN (SELECT country_norm FROM rec x WHERE x.source = tg.source)
 GROUP BY ALL""".replace("SELECT source, s1", "SELECT tg.source AS source, s1"))
 def country_block_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, ["country_norm"])
     left, right = blocking.country_blocks(s1, tg)
     a = left.join(s1.select(F.col("entity_id").alias("s1_id"), F.col("country_norm").alias("s1_country")), "s1_id").groupBy("source", "block", "s1_country").agg(F.count("*").alias("a"))
     b = right.join(tg.select(F.col("entity_id").alias("tgt_id"), F.col("country_norm").alias("tgt_country")), "tgt_id").groupBy("source", "block", "tgt_country").agg(F.count("*").alias("b"))
@@ -210,7 +213,7 @@ def country_block_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(sum(n) AS BIGINT) AS n_pairs, round(avg(n), 6) AS mean_per_s1, round(median(n), 6) AS median_per_s1, max(n) AS max_per_s1, count(*) FILTER (n = 0) AS s1_without,
   count(*) AS n_s1, (SELECT count(*) FROM tg) AS n_targets, round(1 - sum(n) / (count(*) * (SELECT count(*) FROM tg)), 6) AS reduction_ratio FROM c""")
 def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _BLOCKED)
     return _rounded(metrics.candidate_stats(s1, tg, _pairs(s1, tg)))
 
 
@@ -219,7 +222,7 @@ SELECT b.blocker, count(h.blockers) FILTER (b.bit = 0 OR h.blockers & b.bit > 0)
   round(count(h.blockers) FILTER (b.bit = 0 OR h.blockers & b.bit > 0) / greatest((SELECT n FROM n), 1), 6) AS recall
 FROM (VALUES ('all', 0), ('name', 1), ('combined', 2), ('embedding', 4)) b(blocker, bit) LEFT JOIN hit h ON true GROUP BY 1""")
 def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
     return _rounded(metrics.candidate_recall(_pairs(s1, tg), R.links(s1, tg).distinct()))
 
 
@@ -309,18 +312,18 @@ def _rank_sql(key: str, column: str) -> str:
 
 @query(_with(_RECORDS, _PAIRS) + f" SELECT s1_id, tgt_id, {_rank_sql('name', 'score_name')}, {_rank_sql('combined', 'score_combined')}, count(*) OVER (PARTITION BY s1_id) AS n_cands_for_s1, count(*) OVER (PARTITION BY tgt_id) AS n_s1_for_cand FROM pairs")
 def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(*R.records(spark, sf_dir)).select("s1_id", "tgt_id", "score_name", "score_combined")
+    pairs = _pairs(*R.records(spark, sf_dir, _BLOCKED)).select("s1_id", "tgt_id", "score_name", "score_combined")
     return _rounded(features.rank_features(pairs, {"name": "score_name", "combined": "score_combined"}).drop("score_name", "score_combined"))
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED) + " SELECT s1_id, tgt_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tgt_id) AS r FROM scored) WHERE r <= 3 AND score >= 0.05")
 def prune_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.prune(_scored(*R.records(spark, sf_dir)), "score", 3, 0.05).select("s1_id", "tgt_id", "score")
+    return decide.prune(_scored(*R.records(spark, sf_dir, _BLOCKED + _TEXT)), "score", 3, 0.05).select("s1_id", "tgt_id", "score")
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED) + " SELECT s1_id, tgt_id, source, score, label FROM kept")
 def decide_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.decide(_scored(*R.records(spark, sf_dir)), 0.5)
+    return decide.decide(_scored(*R.records(spark, sf_dir, _BLOCKED + _TEXT)), 0.5)
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED) + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tgt_id ORDER BY score DESC, s1_id) AS r FROM scored) WHERE r = 1),
@@ -330,13 +333,13 @@ c AS (SELECT g.threshold, t.s1_id, any_value(t.n_true) AS n_true, count(b.tgt_id
 SELECT threshold, round(avg(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR n_tp = 0 THEN 0.0
   ELSE 1.25 * (n_tp / n_pred) * (n_tp / n_true) / (0.25 * (n_tp / n_pred) + n_tp / n_true) END), 6) AS macro_f05 FROM c GROUP BY 1""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
     return _rounded(decide.threshold_sweep(_scored(s1, tg), _truth_counts(s1, tg)))
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + " SELECT count(*) AS n_s1, round(avg(f05), 6) AS macro_f05, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall FROM f")
 def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
     return _rounded(metrics.evaluate_decision(decide.decide(_scored(s1, tg), 0.5), _truth_counts(s1, tg)))
 
 
@@ -345,7 +348,7 @@ SELECT country_norm, count(*) AS n_s1, round(avg(f05), 6) AS macro_f05, round(av
   round(avg(CAST(n_true = 0 AS DOUBLE)), 6) AS all_empty_f05, round(CASE WHEN sum(n_true) > 0 THEN sum(coalesce(hit, 0)) / sum(n_true) ELSE 0 END, 6) AS candidate_recall,
   round(avg(coalesce(n, 0)), 6) AS candidates_per_s1 FROM f JOIN s1 ON s1.entity_id = f.s1_id LEFT JOIN cc ON cc.s1_id = f.s1_id GROUP BY 1""")
 def macro_f05_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
     pairs = _scored(s1, tg)
     return _rounded(metrics.evaluate_rows(decide.decide(pairs, 0.5), pairs, _truth_counts(s1, tg), s1.select(F.col("entity_id").alias("s1_id"), "country_norm")))
 
@@ -379,20 +382,85 @@ def _lists(s1: DataFrame, tg: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED) + " SELECT entity_id, coalesce(string_agg(k.tgt_id, ',' ORDER BY k.score DESC, k.tgt_id), '') AS ids FROM s1 LEFT JOIN kept k ON k.s1_id = entity_id GROUP BY 1")
 def matching_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(*R.records(spark, sf_dir))[0]
+    return _lists(*R.records(spark, sf_dir, _BLOCKED + _TEXT))[0]
+
+
+def _planted_sql(table: str, rows: str, by: dict[str, str]) -> str:
+    ends = " ".join(f"WHEN country_norm = '{country}' THEN {end}" for country, end in by.items())
+    return f"""{table} AS (SELECT entity_id, country_norm, CASE {ends} ELSE ids END AS ids FROM ({rows}))"""
+
+
+_FAULTY = _with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED) + """,
+m0 AS (SELECT entity_id, any_value(country_norm) AS country_norm, coalesce(string_agg(k.tgt_id, ','), '') AS ids FROM s1 LEFT JOIN kept k ON k.s1_id = entity_id GROUP BY 1),
+c0 AS (SELECT entity_id, any_value(country_norm) AS country_norm, coalesce(string_agg(k.tgt_id, ','), '') AS ids FROM s1 LEFT JOIN scored k ON k.s1_id = entity_id GROUP BY 1),
+""" + _planted_sql("m1", "SELECT * FROM m0 WHERE country_norm <> 'de' UNION ALL SELECT * FROM m0 WHERE country_norm = 'es' UNION ALL SELECT 'S1-none', '?', ''", {"fr": "ids || ',S9-1'", "": "ids || ',' || ids", "en": "ids || ',S2-none'"}) + "," + _planted_sql("c1", "SELECT * FROM c0 WHERE country_norm <> 'fr'", {"de": "ids || ',S1-7'", "es": "ids || ',S3-none,S3-none'"}) + """,
+mx AS (SELECT entity_id, unnest([trim(x) FOR x IN string_split(ids, ',') IF trim(x) <> '']) AS id FROM m1),
+cx AS (SELECT entity_id, unnest([trim(x) FOR x IN string_split(ids, ',') IF trim(x) <> '']) AS id FROM c1),
+bx AS (SELECT 'matching' AS t, * FROM mx UNION ALL SELECT 'candidates', * FROM cx),
+bl AS (SELECT 'matching' AS t, entity_id FROM m1 UNION ALL SELECT 'candidates', entity_id FROM c1)
+SELECT 'duplicate_s1' AS "check", t AS "table", entity_id, '' AS other_id FROM bl GROUP BY t, entity_id HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_id', t, entity_id, id FROM bx GROUP BY t, entity_id, id HAVING count(*) > 1
+UNION ALL SELECT 'missing_s1', 'matching', entity_id, '' FROM s1 WHERE entity_id NOT IN (SELECT entity_id FROM m1)
+UNION ALL SELECT 'extra_s1', 'matching', entity_id, '' FROM m1 WHERE entity_id NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'bad_prefix', t, entity_id, id FROM bx WHERE id NOT LIKE 'S2-%' AND id NOT LIKE 'S3-%'
+UNION ALL SELECT 'unknown_id', t, entity_id, id FROM bx WHERE (id LIKE 'S2-%' OR id LIKE 'S3-%') AND id NOT IN (SELECT entity_id FROM tg)
+UNION ALL SELECT 'not_candidate', 'matching', entity_id, id FROM mx WHERE NOT EXISTS (SELECT 1 FROM cx WHERE cx.entity_id = mx.entity_id AND cx.id = mx.id)
+UNION ALL SELECT 'warn_missing_s1', 'candidates', entity_id, '' FROM s1 WHERE entity_id NOT IN (SELECT entity_id FROM c1)"""
 
 
-@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED) + """
-SELECT 'not_candidate' AS "check", 'matching' AS "table", s1_id AS entity_id, tgt_id AS other_id FROM kept k WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.s1_id = k.s1_id AND s.tgt_id = k.tgt_id)
-UNION ALL SELECT 'missing_s1', 'matching', entity_id, '' FROM s1 WHERE country_norm = 'de'""")
+@query(_FAULTY)
 def validate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems of a matching table that lacks the lists of one country."""
-    s1, tg = R.records(spark, sf_dir)
-    matching, candidates = _lists(s1, tg)
-    lacking = matching.join(s1.where("country_norm = 'de'").select("entity_id"), "entity_id", "left_anti")
-    problems = validate.validate_outputs(lacking, candidates, s1, tg)
-    german = s1.where("country_norm = 'de'").select("entity_id")
-    return problems.where("not startswith(check, 'warn_')").where("check <> 'missing_s1'").union(problems.where("check = 'missing_s1'").join(german, "entity_id", "left_semi").select(*problems.columns))
+    """All problems of two tables with every kind of fault planted, by country: lists that lack, repeated rows and ids, an
+    S1 record that no source has, wrong and unknown ids, and records without candidates."""
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
+    matching, candidates = (x.join(s1.select("entity_id", "country_norm"), "entity_id") for x in _lists(s1, tg))
+
+    def planted(df: DataFrame, by: dict) -> DataFrame:
+        ids = F.col("ids")
+        for country, end in by.items():
+            ids = F.when(F.col("country_norm") == country, end).otherwise(ids)
+        return df.select("entity_id", ids.alias("ids"))
+
+    own = F.col("ids")
+    more = spark.createDataFrame([("S1-none", "", "?")], "entity_id string, ids string, country_norm string")
+    matching = matching.where("country_norm <> 'de'").union(matching.where("country_norm = 'es'")).union(more)
+    matching = planted(matching, {"fr": F.concat(own, F.lit(",S9-1")), "": F.concat(own, F.lit(","), own), "en": F.concat(own, F.lit(",S2-none"))})
+    candidates = planted(candidates.where("country_norm <> 'fr'"), {"de": F.concat(own, F.lit(",S1-7")), "es": F.concat(own, F.lit(",S3-none,S3-none"))})
+    return validate.validate_outputs(matching, candidates, s1, tg)
+
+
+@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED) + """, best AS (SELECT *, row_number() OVER (PARTITION BY tgt_id ORDER BY score DESC, s1_id) AS r FROM scored
+  WHERE score >= CASE source WHEN 'S2' THEN 0.4 ELSE 0.6 END)
+SELECT s1_id, tgt_id, source, score, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tgt_id) AS c FROM best WHERE r = 1) WHERE c <= 2""")
+def decide_per_source_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold for each source, and two targets per S1 record at most, as the operator's cap is defined."""
+    return decide.decide(_scored(*R.records(spark, sf_dir, _BLOCKED + _TEXT)), {"S2": 0.4, "S3": 0.6}, max_per_s1=2)
+
+
+def _true_and_found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, ids) with arrays: the links of every S1 record, and what is decided for those that have any."""
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
+    arrays = lambda pairs: pairs.groupBy(F.col("s1_id").alias("entity_id")).agg(F.collect_list("tgt_id").alias("ids"))
+    truth = s1.select("entity_id").join(arrays(R.links(s1, tg)), "entity_id", "left")
+    return truth.select("entity_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")), arrays(decide.decide(_scored(s1, tg), 0.5))
+
+
+@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + " SELECT s1_id AS entity_id, round(f05, 6) AS f05 FROM f")
+def entity_f05_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, found = _true_and_found(spark, sf_dir)
+    both = truth.join(found.withColumnRenamed("ids", "found"), "entity_id", "left")
+    return _rounded(both.select("entity_id", metrics.entity_f05(F.col("ids"), F.coalesce("found", F.array().cast("array<string>"))).alias("f05")))
+
+
+@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + " SELECT round(avg(f05), 6) AS macro_f05 FROM f")
+def macro_f05_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.macro_f05(*_true_and_found(spark, sf_dir)))
+
+
+@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + " SELECT s1_id, n_true, n_pred, n_tp FROM counts")
+def per_s1_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
+    return metrics.per_s1_counts(decide.decide(_scored(s1, tg), 0.5), _truth_counts(s1, tg))
 
 
 @query(_with(_RAW) + " SELECT country, count(*) AS n, count(*) FILTER (business_name = '') AS empty_names, count(*) FILTER (business_address = '') AS empty_addresses FROM raw GROUP BY 1")
@@ -414,25 +482,25 @@ def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(_RECORDS, _LINKS) + """ SELECT CAST(n_true AS INTEGER) AS n_matches, count(*) AS n_s1, CAST(sum(a) AS BIGINT) AS s2_links, CAST(sum(n_true - a) AS BIGINT) AS s3_links
 FROM (SELECT c.s1_id, c.n_true, count(t.tgt_id) AS a FROM truth_counts c LEFT JOIN truth t ON t.s1_id = c.s1_id AND t.tgt_id LIKE 'S2-%' GROUP BY ALL) GROUP BY 1""")
 def match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.match_distribution(R.ground_truth(*R.records(spark, sf_dir)))
+    return profile.match_distribution(R.ground_truth(*R.records(spark, sf_dir, _TEXT)))
 
 
 @query(_with(_RECORDS, _LINKS) + """ SELECT count(*) AS n_s1, count(*) FILTER (n_true = 0) AS singletons, count(*) FILTER (n_true = 1) AS one_match, count(*) FILTER (n_true > 1) AS more_matches,
   CAST(sum(n_true) AS BIGINT) AS links, (SELECT count(*) FROM truth WHERE tgt_id LIKE 'S2-%') AS s2_links, (SELECT count(*) FROM truth WHERE tgt_id LIKE 'S3-%') AS s3_links,
   round(count(*) FILTER (n_true = 0) / count(*), 6) AS all_empty_f05 FROM truth_counts""")
 def truth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile.truth_profile(R.ground_truth(*R.records(spark, sf_dir))))
+    return _rounded(profile.truth_profile(R.ground_truth(*R.records(spark, sf_dir, _TEXT))))
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED) + """ SELECT country_norm, count(*) AS n_s1, round(avg(CAST(EXISTS (SELECT 1 FROM kept k WHERE k.s1_id = entity_id) AS INTEGER)), 6) AS match_rate FROM s1 GROUP BY 1""")
 def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, tg = R.records(spark, sf_dir)
+    s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
     return _rounded(metrics.match_rate(s1, decide.decide(_scored(s1, tg), 0.5)))
 
 
 @query(_with(_RECORDS) + " SELECT country_norm, count(*) AS n FROM s1 GROUP BY 1 ORDER BY n DESC, country_norm LIMIT 6")
 def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.country_counts(R.records(spark, sf_dir)[0])
+    return metrics.country_counts(R.records(spark, sf_dir, ["country_norm"])[0])
 
 
 @query()
@@ -441,7 +509,7 @@ def matcher_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, tg = R.records(spark, sf_dir)
     rows = links.labelled(_pairs(s1, tg), R.links(s1, tg).distinct())
     own, names = features.build_features(rows, s1, tg, ["tokens", "tfidf", "numbers", "structure", "blockers", "rank"])
-    out, _ = model.out_of_fold(own.cache(), names, model.PRUNER | {"maxIter": 5, "minInstancesPerNode": 5}, 2)
+    out, _ = model.out_of_fold(kept(own), names, model.PRUNER | {"maxIter": 5, "minInstancesPerNode": 5}, 2)
     return _rounded(out.select("s1_id", "tgt_id", "label", "score"), 4)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -12,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one in the warehouse, which all
+    executors reach too."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestone").rstrip("/")
 
 
 _scopes = threading.local()

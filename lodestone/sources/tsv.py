@@ -14,6 +14,16 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in any store that Spark reaches."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, '' where a field is empty. FileNotFoundError where there is no such file."""
     p, fs = _fs(spark, path)

@@ -215,8 +215,16 @@ def test_files_and_modes(spark, tmp_path):
     info = pipeline.run_test(train, test, config, paths)
     assert info["candidates"]["n_s1"] == 17 and len(open(paths.candidates, encoding="utf-8").readlines()) == 18
     assert model.load_model(f"{paths.model}/matcher").getNumTrees >= 1
-    assert pipeline.save_run_info(paths.output, "test", info)["mode"] == "test"
+    assert pipeline.save_run_info(spark, paths.output, "test", info, config)["mode"] == "test"
     assert archive(paths, "a", str(tmp_path / "sub")) == 0 and archive(paths, "a", str(tmp_path / "sub")) == 1
+    assert '"top_k": 10' in open(f"{paths.output}/run_info_test.json", encoding="utf-8").read()
+    with pytest.raises(ValueError):
+        validate.read_lists(tsv.read_tsv(spark, paths.candidates), "matched_entity_ids")
+    assert validate.read_lists(tsv.read_tsv(spark, paths.matching), "matched_entity_ids").columns == ["entity_id", "ids"]
+    ids = train.s1.select("entity_id").union(train.targets.select("entity_id"))
+    ids.withColumn("vector", F.array(F.lit(0.6), F.lit(0.8))).write.parquet(str(tmp_path / "vectors"))
+    strict = pipeline.run_validate(train, config.but(strict_split=True, embeddings=str(tmp_path / "vectors")))
+    assert strict["holdout"]["n_s1"] > 0
     got = pipeline.run_validate(train, config, str(tmp_path / "errors.tsv"))
     assert got["holdout"]["n_s1"] > 0 and open(tmp_path / "errors.tsv", encoding="utf-8").readline().startswith("error\ts1_id\tcand_id")
     assert pipeline.run_loco(train, config.but(loco_min_s1=5))["countries"]
@@ -229,3 +237,29 @@ def test_stream(spark, tmp_path):
     candidates_of_batches(stream, s[0], lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/{n}")), str(tmp_path / "c"), 3).awaitTermination()
     want = blocking.generate_candidates(s[0], s[1].withColumn("source", F.lit("S2")), 3)
     assert spark.read.parquet(str(tmp_path / "out/0")).count() == want.count()
+
+
+def test_scores_do_not_depend_on_batches(spark, tmp_path):
+    s, _ = frames(spark)
+    targets = s[1].withColumn("source", F.lit("S2"))
+    raw = s[1].select("entity_id", "business_name", "business_address", "country").orderBy("entity_id").collect()
+    for i in range(2):
+        spark.createDataFrame(raw[i::2], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = normalized_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))).withColumn("source", F.lit("S2"))
+    candidates_of_batches(stream, s[0], lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/{n}")), str(tmp_path / "c"), 50, reference=targets).awaitTermination()
+    scores = lambda df: {(r["s1_id"], r["tgt_id"]): (r["score_name"], r["score_combined"]) for r in df.collect()}
+    want = scores(blocking.generate_candidates(s[0], targets, 50, by_country=False))
+    got = scores(spark.read.parquet(str(tmp_path / "out/0"), str(tmp_path / "out/1")))
+    assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_per_source_sweeps_find_what_single_decisions_find(spark):
+    rng = random.Random(8)
+    rows = [(f"S1-{rng.randrange(12)}", f"{src}-{i % 25}", src, round(rng.random(), 3)) for i in range(120) for src in ("S2", "S3")]
+    rows = [(*r, int(rng.random() < r[3] - (0.2 if r[2] == "S3" else 0))) for r in {x[:2]: x for x in rows}.values()]
+    df = spark.createDataFrame(rows, "s1_id string, tgt_id string, source string, score double, label int")
+    counts = spark.createDataFrame([(f"S1-{i}", sum(r[4] for r in rows if r[0] == f"S1-{i}")) for i in range(14)], "s1_id string, n_true long")
+    grid = [0.3, 0.45, 0.6, 0.75]
+    fast = decide.tune_threshold(df, counts, per_source=True, grid=grid)
+    slow = decide.tune_threshold(df, counts, per_source=True, grid=grid, max_per_s1=10**6)
+    assert fast[0] == slow[0] and fast[1] == pytest.approx(slow[1])
