@@ -13,7 +13,7 @@ from lodestone.sources import records as R
 from lodestone.sources.shared import kept
 
 #: Targets that a term may be in at most, and candidates per blocker and source.
-MAX_DF, TOP_K = 50, 5
+MAX_DF, TOP_K = 2000, 10
 
 #: Columns that links and blocking read.
 _TEXT, _BLOCKED = ["business_name", "business_address"], ["name_core", "name_norm", "address_norm", "country_norm"]
@@ -316,9 +316,9 @@ def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(features.rank_features(pairs, {"name": "score_name", "combined": "score_combined"}).drop("score_name", "score_combined"))
 
 
-@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED) + " SELECT s1_id, tgt_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tgt_id) AS r FROM scored) WHERE r <= 3 AND score >= 0.05")
+@query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED) + " SELECT s1_id, tgt_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tgt_id) AS r FROM scored) WHERE r <= 10 AND score >= 0.01")
 def prune_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.prune(_scored(*R.records(spark, sf_dir, _BLOCKED + _TEXT)), "score", 3, 0.05).select("s1_id", "tgt_id", "score")
+    return decide.prune(_scored(*R.records(spark, sf_dir, _BLOCKED + _TEXT)), "score", 10, 0.01).select("s1_id", "tgt_id", "score")
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED) + " SELECT s1_id, tgt_id, source, score, label FROM kept")
