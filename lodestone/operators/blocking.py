@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -62,50 +61,65 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", group_rank(["s1_id", "source"], F.col("score"), ["tgt_id"])).where(F.col("rank") <= k)
 
 
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 8192
+#: Query and target vectors, on average, of one cell of the grid that dense_top_k lays over a block, and targets that a cell
+#: multiplies at a time.
+QUERY_BLOCK, TARGET_BLOCK, STRIP = 4096, 32768, 1024
 
 
-def dense_top_k(queries: DataFrame, targets: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _largest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest scores of each row, largest first; of equal scores the first columns."""
+    few = min(k, scores.shape[1])
+    cut = -np.partition(-scores, few - 1, axis=1)[:, few - 1 : few]
+    over, even = scores > cut, scores == cut
+    even &= np.cumsum(even, axis=1) <= few - over.sum(axis=1, keepdims=True)
+    cols = np.nonzero(over | even)[1].reshape(len(scores), few)
+    return np.take_along_axis(cols, np.argsort(-np.take_along_axis(scores, cols, 1), axis=1, kind="stable"), 1)
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def dense_top_k(queries: DataFrame, targets: DataFrame, k: int, query_block: int = QUERY_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
     """(s1_id, tgt_id, source, score, rank): the k nearest targets by dot product, to six decimals, without a lower bound.
 
     queries: s1_id, source, block, vector; targets: tgt_id, source, block, vector; a pair has one source and block in
-    common. Exact: blocks of queries are set against all targets where those are read, as products of matrices, and only
-    each task's k best of a query are shuffled.
+    common. Exact: each block is a grid of cells, as many as its counts ask for; a cell multiplies its queries with its
+    targets strip by strip, and only its k best of a query leave it. Nothing is gathered at the driver or broadcast by size
+    of the data. A null vector, or one that holds null or NaN, is near to nothing; of equal scores the least tgt_id is first.
     """
-    spark = queries.sparkSession
-    parts = max(1, -(-queries.count() // query_block))
+    key = ["source", "block"]
+    queries, targets = (df.select(own, *key, "vector").where("vector IS NOT NULL") for df, own in ((queries, "s1_id"), (targets, "tgt_id")))
+    rows = queries.groupBy(*key).agg(F.ceil(F.count("*") / query_block).alias("_rows"))
+    grid = rows.join(targets.groupBy(*key).agg(F.ceil(F.count("*") / target_block).alias("_cols")), key)
+
+    def dealt(df: DataFrame, own: str, at: str, every: str) -> DataFrame:
+        """df with a place on its own side of the grid, once for every place on the other side."""
+        df = df.join(grid, key).withColumn(at, F.pmod(F.xxhash64(own), F.col(f"{at}s")))
+        return df.withColumn(every, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{every}s") - 1))).drop("_rows", "_cols")
+
     fields = queries.schema["s1_id"], targets.schema["tgt_id"], targets.schema["source"]
     schema = StructType([*fields, StructField("score", DoubleType())])
-    out = None
-    for i in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("s1_id", "source", "block"), F.lit(parts)) == i).select("s1_id", "source", "block", "vector").toArrow().to_pydict()
-        groups: dict[tuple, tuple[list, np.ndarray]] = {}
-        for key in set(zip(own["source"], own["block"])):
-            at = [j for j, x in enumerate(zip(own["source"], own["block"])) if x == key]
-            groups[key] = [own["s1_id"][j] for j in at], np.array([own["vector"][j] for j in at], np.float64)
-        given = spark.sparkContext.broadcast(groups)
-
-        def nearest(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            best: dict[tuple, list[tuple]] = {}
-            for batch in batches:
-                ids, vectors = batch.column("tgt_id").to_pylist(), batch.column("vector")
-                keys = list(zip(batch.column("source").to_pylist(), batch.column("block").to_pylist()))
-                for key in set(keys) & set(given.value):
-                    at = [j for j, x in enumerate(keys) if x == key]
-                    names, q = given.value[key]
-                    scores = np.round(q @ np.array([vectors[j].as_py() for j in at], np.float64).T, 6)
-                    few = min(k, len(at))
-                    cut = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
-                    for row, name in enumerate(names):
-                        found = best.get((name, key[0]), []) + [(-scores[row, c], ids[at[c]]) for c in np.flatnonzero(scores[row] >= cut[row]).tolist()]
-                        best[name, key[0]] = sorted(found)[:k]
-            rows = [(s, t, source, -v) for (s, source), found in best.items() for v, t in found]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, to_arrow_schema(schema).types)], ["s1_id", "tgt_id", "source", "score"])
-
-        found = targets.select("tgt_id", "source", "block", "vector").mapInArrow(nearest, schema)
-        out = found if out is None else out.union(found)
-    return top_k(out, k)
+
+    def nearest(q: pa.Table, t: pa.Table) -> pa.Table:
+        t = t.sort_by("tgt_id")
+        asked, given = _matrix(q["vector"]), _matrix(t["vector"])
+        best, at = np.empty((len(asked), 0)), np.empty((len(asked), 0), np.int64)
+        for start in range(0, len(given) if len(asked) else 0, STRIP):
+            scores = np.nan_to_num(np.round(asked @ given[start : start + STRIP].T, 6), nan=-np.inf)
+            cols = _largest(scores, k)
+            best, at = np.hstack([best, np.take_along_axis(scores, cols, 1)]), np.hstack([at, cols + start])
+            cols = _largest(best, k)
+            best, at = np.take_along_axis(best, cols, 1), np.take_along_axis(at, cols, 1)
+        row, col = np.nonzero(best > -np.inf)
+        found = t.take(pa.array(at[row, col], pa.int64()))
+        out = [q["s1_id"].take(pa.array(row, pa.int64())), found["tgt_id"], found["source"], pa.chunked_array([pa.array(best[row, col], pa.float64())])]
+        return pa.table(out, to_arrow_schema(schema))
+
+    cell = [*key, "_row", "_col"]
+    left, right = dealt(queries, "s1_id", "_row", "_col"), dealt(targets, "tgt_id", "_col", "_row")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, where both sides are of one table
+    return top_k(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(nearest, schema), k)
 
 
 def union_candidates(tops: dict[str, DataFrame], scores: dict[str, DataFrame], k: int) -> DataFrame:

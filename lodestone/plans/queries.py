@@ -147,11 +147,6 @@ def _scored(s1: DataFrame, tg: DataFrame) -> DataFrame:
     return rows.select("s1_id", "tgt_id", "source", F.greatest("score_name", "score_combined").alias("score"), "label")
 
 
-def _truth_counts(s1: DataFrame, tg: DataFrame) -> DataFrame:
-    own = R.links(s1, tg).groupBy("s1_id").agg(F.count("*").alias("n_true"))
-    return s1.select(F.col("entity_id").alias("s1_id")).join(own, "s1_id", "left").select("s1_id", F.coalesce("n_true", F.lit(0)).alias("n_true"))
-
-
 @query(_with(_RECORDS) + " SELECT entity_id, " + ", ".join(NORMALIZED_COLUMNS) + " FROM rec")
 def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, tg = R.records(spark, sf_dir)
@@ -334,13 +329,13 @@ SELECT threshold, round(avg(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_
   ELSE 1.25 * (n_tp / n_pred) * (n_tp / n_true) / (0.25 * (n_tp / n_pred) + n_tp / n_true) END), 6) AS macro_f05 FROM c GROUP BY 1""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
-    return _rounded(decide.threshold_sweep(_scored(s1, tg), _truth_counts(s1, tg)))
+    return _rounded(decide.threshold_sweep(_scored(s1, tg), R.link_counts(s1, tg)))
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + " SELECT count(*) AS n_s1, round(avg(f05), 6) AS macro_f05, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall FROM f")
 def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
-    return _rounded(metrics.evaluate_decision(decide.decide(_scored(s1, tg), 0.5), _truth_counts(s1, tg)))
+    return _rounded(metrics.evaluate_decision(decide.decide(_scored(s1, tg), 0.5), R.link_counts(s1, tg)))
 
 
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + """, cc AS (SELECT s1_id, count(*) AS n, sum(label) AS hit FROM scored GROUP BY 1)
@@ -350,7 +345,7 @@ SELECT country_norm, count(*) AS n_s1, round(avg(f05), 6) AS macro_f05, round(av
 def macro_f05_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
     pairs = _scored(s1, tg)
-    return _rounded(metrics.evaluate_rows(decide.decide(pairs, 0.5), pairs, _truth_counts(s1, tg), s1.select(F.col("entity_id").alias("s1_id"), "country_norm")))
+    return _rounded(metrics.evaluate_rows(decide.decide(pairs, 0.5), pairs, R.link_counts(s1, tg), s1.select(F.col("entity_id").alias("s1_id"), "country_norm")))
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
@@ -460,7 +455,7 @@ def macro_f05_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(_RECORDS, _LINKS, _PAIRS, _SCORED, _DECIDED, _COUNTS) + " SELECT s1_id, n_true, n_pred, n_tp FROM counts")
 def per_s1_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, tg = R.records(spark, sf_dir, _BLOCKED + _TEXT)
-    return metrics.per_s1_counts(decide.decide(_scored(s1, tg), 0.5), _truth_counts(s1, tg))
+    return metrics.per_s1_counts(decide.decide(_scored(s1, tg), 0.5), R.link_counts(s1, tg))
 
 
 @query(_with(_RAW) + " SELECT country, count(*) AS n, count(*) FILTER (business_name = '') AS empty_names, count(*) FILTER (business_address = '') AS empty_addresses FROM raw GROUP BY 1")

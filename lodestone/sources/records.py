@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.normalize import normalize_records
@@ -36,13 +36,22 @@ def records(spark: SparkSession, sf_dir: str, columns: list[str] | None = None)
     return own.where("source = 'S1'"), own.where("source <> 'S1'")
 
 
+def _text_key() -> Column:
+    return F.sha2(F.lower(F.concat_ws("\n", "business_name", "business_address")), 256)
+
+
 def links(s1: DataFrame, targets: DataFrame) -> DataFrame:
     """(s1_id, tgt_id) of records with the same name and address text, lower-cased."""
-    key = F.sha2(F.lower(F.concat_ws("\n", "business_name", "business_address")), 256)
-    a, b = s1.select(F.col("entity_id").alias("s1_id"), key.alias("k")), targets.select(F.col("entity_id").alias("tgt_id"), key.alias("k"))
+    a, b = (df.select(F.col("entity_id").alias(own), _text_key().alias("k")) for df, own in ((s1, "s1_id"), (targets, "tgt_id")))
     return a.join(b, "k").select("s1_id", "tgt_id")
 
 
+def link_counts(s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """(s1_id, n_true): the number of links() of every S1 record, from counts of equal targets, without making the pairs."""
+    n = targets.groupBy(_text_key().alias("k")).agg(F.count("*").alias("n_true"))
+    return s1.select(F.col("entity_id").alias("s1_id"), _text_key().alias("k")).join(n, "k", "left").select("s1_id", F.coalesce("n_true", F.lit(0)).alias("n_true"))
+
+
 def ground_truth(s1: DataFrame, targets: DataFrame) -> DataFrame:
     """(source1_entity_id, matched_entity_ids) of every S1 record, in the form of a ground-truth file."""
     own = links(s1, targets).groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_list("tgt_id")), ",").alias("ids"))

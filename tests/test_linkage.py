@@ -7,7 +7,7 @@ from lodestone.operators import blocking, decide, features, links, metrics, mode
 from lodestone.operators.normalize import normalize_records
 from lodestone.plans import pipeline
 from lodestone.plans.config import Config, set_paths
-from lodestone.sources import fixture, tsv
+from lodestone.sources import fixture, records, tsv
 from lodestone.sources.archive import archive
 from lodestone.sources.cache import load_source
 from lodestone.streaming.incremental import candidates_of_batches, normalized_stream
@@ -75,8 +75,26 @@ def test_dense_top_k_in_blocks(spark):
     for a in q.collect():
         scores = sorted((-sum(x * y for x, y in zip(a["vector"], b["vector"])), b["tgt_id"]) for b in t.collect() if b["block"] == a["block"])
         want |= {(a["s1_id"], i): (-s, r + 1) for r, (s, i) in enumerate(scores[:4])}
-    for block in (100, 3):
-        assert {(r["s1_id"], r["tgt_id"]): (r["score"], r["rank"]) for r in blocking.dense_top_k(q, t, 4, block).collect()} == want
+    for blocks in ((100, 100), (3, 7)):
+        assert {(r["s1_id"], r["tgt_id"]): (r["score"], r["rank"]) for r in blocking.dense_top_k(q, t, 4, *blocks).collect()} == want
+    odd = spark.createDataFrame([("n", "S2", "x", None), ("o", "S2", "x", [None, 1.0, 1.0]), ("p", "S2", "x", [float("nan"), 1.0, 1.0]), ("r", "S3", "x", [1.0, 1.0, 1.0])], t.schema)
+    assert blocking.dense_top_k(q, odd, 4).isEmpty() and blocking.dense_top_k(q.limit(0), t, 4).isEmpty()
+    assert {(r["s1_id"], r["tgt_id"]): (r["score"], r["rank"]) for r in blocking.dense_top_k(q, t.union(odd), 4, 3, 7).collect()} == want
+
+
+def test_dense_top_k_of_equal_targets(spark):
+    """More ties than a strip holds: the least ids win."""
+    t = spark.range(3000).selectExpr("id AS tgt_id", "'S2' AS source", "'*' AS block", "array(1f, if(id = 2999, 1f, 0f)) AS vector").repartition(3)
+    q = spark.createDataFrame([("a", "S2", "*", [1.0, 0.0]), ("b", "S2", "*", [0.0, 1.0])], "s1_id string, source string, block string, vector array<float>")
+    found = {(r["s1_id"], r["rank"]): r["tgt_id"] for r in blocking.dense_top_k(q, t, 3).collect()}
+    assert found == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 1): 2999, ("b", 2): 0, ("b", 3): 1}
+
+
+def test_link_counts_are_those_of_the_pairs(spark):
+    rows = lambda p, texts: spark.createDataFrame([(f"{p}{i}", x, y) for i, (x, y) in enumerate(texts)], "entity_id string, business_name string, business_address string")
+    s1, tg = rows("S1-", [("A", "x"), ("a", "X"), ("b", None), ("c", "")]), rows("S2-", [("a", "x"), ("A", "x"), ("B", None), ("d", "")])
+    pairs = {r["s1_id"]: r["count"] for r in records.links(s1, tg).groupBy("s1_id").count().collect()}
+    assert {r["s1_id"]: r["n_true"] for r in records.link_counts(s1, tg).collect()} == {"S1-0": 2, "S1-1": 2, "S1-2": 1, "S1-3": 0} == {f"S1-{i}": 0 for i in range(4)} | pairs
 
 
 def test_links(spark, split):
