@@ -2,8 +2,10 @@
 
 Texts become templates: numbers, names and the units after numbers turn into typed placeholders, other words into lower
 case. As a capital at the start of a sentence may be a name or not, and a name may have more words than one, there are two
-templates, and a plain one of lower-case tokens for copies in which capitals stand elsewhere. A window is a run of template tokens. Windows of the items are looked up by hash in the documents; where they match,
-token by token, they are set against the item they come from. The values that stand in the slots must be consistent: over
+templates, and a plain one of lower-case tokens for copies in which capitals stand elsewhere. A window is a run of
+template tokens. Windows of the items are looked up by hash in the documents; where they match, token by token, they are
+set against the item they come from. A window of slots only would match every table of numbers, so it isn't looked up: it
+counts where it lies in line with a window of the item that has a word, or where its values are the item's own. The values that stand in the slots must be consistent: over
 a set of matched windows of an item in a document, one value of the item always meets one value of the document and the
 other way round. Each occurrence has a set that starts with its own windows; the set that covers most counts. Items are taken in blocks of bounded size, each of which is broadcast and compared with all documents.
 """
@@ -140,29 +142,66 @@ def _consistent(windows: Iterable[Window]) -> tuple[list[Window], int, bool]:
     return taken, len(covered), alike
 
 
-def _best(windows: list[Window]) -> tuple[int, bool, int]:
-    """Tokens covered, all slots alike, and windows, of the set of consistent windows that covers most.
+def _near(windows: list[Window], starts: set[Window], best: int) -> tuple[int, bool, int]:
+    """As _best, over sets that begin with one of `starts`, take what is in line with it, then others, the nearest first.
 
-    The windows whose slots are all alike are a set; so are those that agree in the order of the text; and each window
-    left over starts one, to which those of its own alignment are added first, the nearest before others. So every
-    occurrence is judged by its own values, and parts that lie apart still add up.
+    Sets of windows are the bits of numbers, in the order of `windows`: a binding of two values rules out the windows that
+    bind either of them otherwise, so that a set is done after as many steps as it has windows.
+    """
+    of_item, of_text, of_both, in_line = (defaultdict(int) for _ in range(4))
+    for k, (p, a, _, pairs) in enumerate(windows):
+        in_line[p - a] |= 1 << k
+        for x, y in pairs:
+            of_item[x] |= 1 << k
+            of_text[y] |= 1 << k
+            of_both[x, y] |= 1 << k
+    against = {(x, y): (of_item[x] | of_text[y]) & ~both for (x, y), both in of_both.items()}
+    covers = [(1 << b) - (1 << a) for _, a, b, _ in windows]
+    left, found = sum(1 << k for k, x in enumerate(windows) if x in starts), (best, False, 0)
+    while left:
+        first = (left & -left).bit_length() - 1
+        p, a, *_ = windows[first]
+        bound, covered, taken, alive = set(), 0, [], (1 << len(windows)) - 1
+        for todo in (in_line[p - a], ~in_line[p - a]):
+            while todo := todo & alive:
+                after, before = todo >> first, todo & ((1 << first) - 1)
+                k = first + (after & -after).bit_length() - 1 if after else -1
+                if before and (k < 0 or p - windows[before.bit_length() - 1][0] <= windows[k][0] - p):
+                    k = before.bit_length() - 1
+                for pair in windows[k][3]:
+                    if pair not in bound:
+                        bound.add(pair)
+                        alive &= ~against[pair]
+                alive &= ~(1 << k)
+                covered |= covers[k]
+                taken.append(k)
+        left &= left - 1
+        found = max(found, (covered.bit_count(), all(x == y for x, y in bound), len({windows[k][:2] for k in taken})))
+    return found
+
+
+def _best(windows: list[Window], length: int) -> tuple[int, bool, int]:
+    """Tokens covered, all slots alike, and windows, of the set of consistent windows that covers most; `length` is the item's.
+
+    The windows whose slots are all alike are a set; so are those that agree in the order of the text, with the alike ones
+    first or not. Each window left over starts one, to which those of its own alignment are added first, the nearest
+    before others; these sets lie within twice the item's length. So every occurrence is judged by its own values, parts
+    that lie apart still add up, and the work grows with the length of the text.
     """
     most = len(set().union(*(range(a, b) for _, a, b, _ in windows)))
     exact = [x for x in windows if all(y == z for y, z in x[3])]
-    best, left = (0, False, 0), dict.fromkeys(windows)
-    orders = [lambda: exact, lambda: exact + [x for x in windows if any(y != z for y, z in x[3])], lambda: windows]
-    while (orders or left) and not (best[0] == most and best[1]):
-        if not orders:
-            if best[0] == most:
-                break
-            p, a, *_ = next(iter(left))
-            order = sorted(windows, key=lambda x: (x[0] - x[1] != p - a, abs(x[0] - p)))
-        else:
-            order = orders.pop(0)()
+    best, left = (0, False, 0), set(windows)
+    for order in (windows, exact + [x for x in windows if any(y != z for y, z in x[3])], exact):
         taken, covered, alike = _consistent(order)
         best = max(best, (covered, alike, len({x[:2] for x in taken})))
-        for x in taken:
-            left.pop(x, None)
+        left.difference_update(taken)
+    parts: dict[int, list[Window]] = defaultdict(list)
+    for x in windows if best[0] < most else ():
+        for part in (x[0] // (2 * length) - 1, x[0] // (2 * length)):
+            parts[part].append(x)
+    for own in parts.values():
+        if best[0] < len(set().union(*(range(a, b) for _, a, b, _ in own))):
+            best = max(best, _near(own, left, best[0]))
     return best
 
 
@@ -173,12 +212,29 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         codes = Codes(self.vocabulary, grow=True)
         self.items = [(i, *templates(text, codes)) for i, text in items]
+        self.lengths = np.array([len(own) for _, own, _ in self.items], np.int64)
+        #: The templates of all items end to end, the raw token at which each token starts, and where an item's begins.
+        self.ids, self.starts, self.begin = [], [], []
+        for form in range(3):
+            forms = [x[form] for _, _, x in self.items]
+            self.ids.append(np.concatenate([np.empty(0, np.int64), *(np.append(ids, _OTHER) for ids, _ in forms)]))
+            self.starts.append(np.concatenate([np.empty(0, np.int64), *(at for _, at in forms)]))
+            self.begin.append(np.concatenate(([0], np.cumsum([len(at) for _, at in forms], dtype=np.int64))))
+        #: Places of the windows of an item's template that are slots only, and the raw tokens in these.
+        self.bare: dict[tuple[int, int], np.ndarray] = {}
+        self.bare_tokens = np.zeros(len(self.items), np.int64)
         places: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for k, (_, _, forms) in enumerate(self.items):
-            for form, (ids, _) in enumerate(forms):
+            for form, (ids, starts) in enumerate(forms):
                 if len(ids) >= LEAST:
                     h = _hashes(ids, w := min(WINDOW, len(ids)))
-                    places[form, w].append((h, np.full(len(h), k), np.arange(len(h)), _leading(ids, len(h))))
+                    words = np.concatenate(([0], np.cumsum(ids >= FIRST_WORD)))
+                    bare = (words[w:] == words[:-w]) & (form != PLAIN)
+                    if bare.any():
+                        self.bare[k, form] = np.flatnonzero(bare)
+                        self.bare_tokens[k] += len(set().union(*(range(starts[j], starts[j + w]) for j in self.bare[k, form].tolist())))
+                    at = np.flatnonzero(~bare)
+                    places[form, w].append((h[at], np.full(len(at), k), at, _leading(ids, len(h))[at]))
         self.windows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.leading: dict[tuple[int, int], np.ndarray] = {}
         for key, parts in sorted(places.items()):
@@ -202,11 +258,24 @@ class Index:
             return int(forms[form][1][i]), a, b, tuple(sorted(pairs))
         return None
 
+    def _along(self, k: int, forms: list[Template], places: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """The windows of slots only of item k that match a text in line with the places found by words."""
+        for form, shift in sorted({(form, i - j) for form, i, j, _ in places}):
+            if (at := self.bare.get((k, form))) is not None:
+                ids, own = forms[form][0], self.items[k][2][form][0]
+                w = min(WINDOW, len(own))
+                at = at[(at + shift >= 0) & (at + shift + w <= len(ids))]
+                for x in range(w):
+                    at = at[own[at + x] == ids[at + shift + x]]
+                yield from ((form, j + shift, j, w) for j in at.tolist())
+
     def matches(self, text: bytes, codes: Codes, least: int, share: float) -> list[tuple[object, int, int, float, bool]]:
         """(item id, windows, tokens, covered part, all slots alike) of the items found in a text, in the order of items."""
         raw_tokens, forms = templates(text, codes)
         known = [np.concatenate(([0], np.cumsum(ids >= 0))) for ids, _ in forms]
-        found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        #: of each template, hashes of its windows in order with their places, and the windows of items that have these hashes
+        here: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        wanted: list[np.ndarray] = []
         for (form, w), (h, item, at) in self.windows.items():
             ids = forms[form][0]
             if len(ids) < w:
@@ -219,27 +288,63 @@ class Index:
             own = np.full(len(open_at), w, np.uint64)
             for i in range(w):
                 own = mix(own + ids[open_at + i].astype(np.uint64))
-            first = np.searchsorted(h, own)
-            hits = np.flatnonzero((first < len(h)) & (h[np.minimum(first, len(h) - 1)] == own))
-            for k in hits.tolist():
-                j, p = int(first[k]), int(open_at[k])
-                while j < len(h) and h[j] == own[k]:
-                    if (self.items[item[j]][2][form][0][at[j] : at[j] + w] == ids[p : p + w]).all():
-                        found[int(item[j])].append((form, p, int(at[j]), w))
-                    j += 1
+            order = np.argsort(own, kind="stable")
+            here[form, w] = own[order], open_at[order]
+            each = np.unique(own)
+            first = np.searchsorted(h, each)
+            n = np.searchsorted(h, each, "right") - first
+            which = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            a = self.starts[form][self.begin[form][item[which]] + at[which]]
+            b = self.starts[form][self.begin[form][item[which]] + at[which] + w]
+            wanted.append(np.stack((item[which], np.full(len(which), form), np.full(len(which), w), at[which], a, b, h[which].view(np.int64))))
+        if not wanted:
+            return []
+        windows_of = np.concatenate(wanted, axis=1)
+        # tokens of each item in its windows: ends in the order of places, each counted from the last end on
+        windows_of = windows_of[:, np.lexsort((windows_of[4], windows_of[0]))]
+        base = windows_of[0] * (int(self.lengths.max()) + 1)
+        ends = np.maximum.accumulate(base + windows_of[5])
+        new = np.maximum(ends - np.maximum(base + windows_of[4], np.concatenate(([0], ends[:-1]))), 0)
+        need = np.maximum(np.minimum(least, self.lengths), share * self.lengths)
+        enough = np.bincount(windows_of[0], new, len(self.items)) + self.bare_tokens >= need
+        windows_of = windows_of[:, enough[windows_of[0]]]
+        items, begin = np.unique(windows_of[0], return_index=True)
         out = []
-        for k, places in sorted(found.items()):
-            item_id, own, own_forms = self.items[k]
-            ends = ((int(own_forms[form][1][j]), int(own_forms[form][1][j + w])) for form, _, j, w in places)
-            if len(set().union(*(range(a, b) for a, b in ends))) < max(min(least, len(own)), share * len(own)):
-                continue
-            windows = {x for form, i, j, w in places if (x := self._window(k, form, i, j, w, raw_tokens, forms))}
-            windows = sorted(windows)
-            covered, alike, n = _best(windows)
-            if covered >= min(least, len(own)) and covered >= share * len(own):
-                out.append((item_id, n, covered, covered / len(own), alike))
+        for k, some in zip(items.tolist(), np.split(windows_of, begin[1:], axis=1)):
+            item_id, own, _ = self.items[k]
+            places: list[tuple[int, int, int, int]] = []
+            for form, w in sorted(set(zip(some[1].tolist(), some[2].tolist()))):
+                j, h = some[3:7:3, (some[1] == form)]
+                places += self._places(k, form, w, j, h.view(np.uint64), *here[form, w], forms[form][0])
+            places += self._along(k, forms, places)
+            windows = sorted({x for form, i, j, w in places if (x := self._window(k, form, i, j, w, raw_tokens, forms))})
+            if windows and len(set().union(*(range(a, b) for _, a, b, _ in windows))) >= need[k]:
+                covered, alike, n = _best(windows, len(own))
+                if covered >= need[k]:
+                    out.append((item_id, n, covered, covered / len(own), alike))
         return out
 
+    def _places(self, k: int, form: int, w: int, j: np.ndarray, h: np.ndarray, hashes: np.ndarray, at: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(form, place in the text, place in item k, w) of the windows j of the item, of hashes h, that stand in a text.
+
+        A window that binds the same values wherever it stands, as plain ones and those without slots do, counts once
+        within the item's length.
+        """
+        first = np.searchsorted(hashes, h)
+        n = np.searchsorted(hashes, h, "right") - first
+        p, j = at[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)], np.repeat(j, n)
+        whole, fixed = np.ones(len(p), bool), np.ones(len(p), bool)
+        for i in range(w):
+            token = self.ids[form][self.begin[form][k] + j + i]
+            whole &= token == ids[p + i]
+            fixed &= (token >= FIRST_WORD) | (form == PLAIN)
+        order = np.flatnonzero(whole)[np.lexsort((p[whole], j[whole]))]
+        p, j, fixed = p[order], j[order], fixed[order]
+        part = p // self.lengths[k]
+        new = np.concatenate(([True], (part[1:] != part[:-1]) | (j[1:] != j[:-1])))[: len(p)] | ~fixed
+        p, j = p[new], j[new]
+        return [(form, x, y, w) for x, y in zip(p.tolist(), j.tolist())]
+
 
 def _indexes(benchmark: DataFrame, key: str, block_tokens: int) -> Iterator[Index]:
     """Indexes of the items, block by block; a block has about `block_tokens` tokens."""

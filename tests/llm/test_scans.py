@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -254,3 +255,107 @@ def test_exact_copies_whatever_capitals():
 
 def test_lower_case_copy_is_found(spark):
     assert (0, 1) in found(spark, [ITEM.lower()])
+
+
+def test_tables_of_numbers_are_no_items():
+    rng = random.Random(2)
+    table = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    items = [(i, table(60).encode()) for i in range(200)]
+    index = decontamination.Index(items)
+    codes = decontamination.Codes(index.vocabulary)
+    began = time.time()
+    assert index.matches(table(500).encode(), codes, 13, 0.3) == []
+    assert [m[0] for m in index.matches(b"so " + items[7][1] + table(20).encode(), codes, 13, 0.3)] == [7]
+    assert time.time() - began < 1
+    # beside words, slots count: the values of the table meet others, one by one
+    item = "Add up the numbers in this table of sales now: " + table(20)
+    assert in_text("Add up the numbers in this table of sales now: " + table(20) + " and more", item)[0][3:] == (1.0, False)
+    assert in_text("Add up the numbers in this table of sales now: " + "7 " * 20, item) == []
+
+
+def test_work_grows_with_the_length_of_a_text():
+    rng = random.Random(6)
+    sheet = " ".join(TOM.replace("5", str(rng.randrange(90))).replace("3", str(rng.randrange(90))).replace("does Tom", "does Ann") for _ in range(400))
+    began = time.time()
+    assert not in_text(sheet)[0][4] and in_text(sheet + " " + TOM)[0][2:] == (14, 1.0, True)
+    digits = lambda n: " plus ".join(str(rng.randrange(10)) for _ in range(n))
+    in_text(digits(300), digits(40))
+    assert in_text("the " * 20_000, "the " * 60)[0][3:] == (1.0, True)
+    assert time.time() - began < 10
+
+
+def plain_best(windows, length):
+    """Every set, window by window."""
+
+    def consistent(order):
+        there, back, taken = {}, {}, []
+        for w in order:
+            if all(there.get(x, y) == y and back.get(y, x) == x for x, y in w[3]):
+                there.update(w[3])
+                back.update((y, x) for x, y in w[3])
+                taken.append(w)
+        return taken
+
+    def size(ws):
+        return len({i for _, a, b, _ in ws for i in range(a, b)}), all(x == y for w in ws for x, y in w[3])
+
+    alike = [w for w in windows if size([w])[1]]
+    sets = [consistent(o) for o in (windows, alike + [w for w in windows if w not in alike], alike)]
+    left = [w for w in windows if not any(w in s for s in sets)]
+    for part in {w[0] // (2 * length) - d for w in windows for d in (0, 1)}:
+        own = [w for w in windows if w[0] // (2 * length) - part in (0, 1)]
+        for i, w in enumerate(own):
+            if w in left:
+                near = lambda j: (own[j][0] - own[j][1] != w[0] - w[1], abs(own[j][0] - w[0]), j >= i, abs(j - i))
+                sets.append(consistent([own[j] for j in sorted(range(len(own)), key=near)]))
+    return max(size(s) for s in sets)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_best_sets_against_every_set(seed):
+    rng = random.Random(seed)
+    windows, length = set(), rng.choice([6, 12, 30])
+    for _ in range(rng.randrange(1, 40)):
+        a = rng.randrange(length)
+        pairs = {(0, b"%d" % rng.randrange(4)): (0, b"%d" % rng.randrange(4)) for _ in range(rng.randrange(3))}
+        if len(set(pairs.values())) == len(pairs):
+            windows.add((rng.randrange(60), a, min(length, a + 3), tuple(sorted(pairs.items()))))
+    if windows:
+        assert decontamination._best(sorted(windows), length)[:2] == plain_best(sorted(windows), length)
+
+
+def plain_places(index, text, codes):
+    """Items with their matching windows, by comparing each window with each place of the text."""
+    raw_tokens, forms = decontamination.templates(text, codes)
+    for k, (item_id, own, own_forms) in enumerate(index.items):
+        found = set()
+        for form, (ids, _) in enumerate(own_forms):
+            w, there = min(decontamination.WINDOW, len(ids)), forms[form][0]
+            if len(ids) < decontamination.LEAST:
+                continue
+            bare = lambda j: form != decontamination.PLAIN and max(ids[j : j + w]) < decontamination.FIRST_WORD
+            same = [(i, j) for j in range(len(ids) - w + 1) for i in range(len(there) - w + 1) if (ids[j : j + w] == there[i : i + w]).all()]
+            lines = {i - j for i, j in same if not bare(j)}
+            found |= {index._window(k, form, i, j, w, raw_tokens, forms) for i, j in same if i - j in lines}
+        windows = sorted(found - {None})
+        need = max(min(13, len(own)), 0.3 * len(own))
+        if windows and (best := plain_best(windows, len(own)))[0] >= need:
+            yield item_id, best[0], best[0] / len(own), best[1]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_matches_against_every_window(seed):
+    rng = random.Random(seed)
+    words = ["has", "buys", "apples", "Tom", "Ann", "3", "5", "how", "many", "Lee", "cost", "km", "."]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, make(rng.randrange(5, 30)).encode()) for i in range(6)]
+    index = decontamination.Index(items)
+    codes = decontamination.Codes(index.vocabulary)
+    swap = {"Tom": "Bob", "3": "9", "5": "12", "Ann": "Eve"}
+    parts = [make(8)]
+    for _, t in rng.sample(items, 4):
+        tokens = t.decode().split()
+        parts += [" ".join(swap.get(x, x) if rng.random() < 0.95 else x for x in tokens), make(rng.randrange(6))]
+    text = " ".join(parts).encode()
+    got = [(m[0], *m[2:]) for m in index.matches(text, codes, 13, 0.3)]
+    assert got == list(plain_places(index, text, codes)) and got
