@@ -350,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     texts = filtered(docs, "_text", key_filter(wanted.select("_key")))
     texts = texts.join(wanted, _same(texts, wanted)).select("text", "wanted")
     contexts = kept(texts.mapInArrow(_contexts(length), "gram long, own long, before int, context binary"))
-    many = owns.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram")
+    many = kept(owns.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram"))  # as kinds
     spans = _settled_spans(contexts, many, length, hot)
     copies = owns.where("n > 1").select("gram", "own", F.lit(0).alias("lo"), (F.col("f.before") + F.col("f.behind")).alias("hi"))
     spans = kept(spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("spans", _joined(F.col("spans"))))
