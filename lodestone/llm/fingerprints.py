@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import lean, mix, schema_of
 
@@ -156,18 +157,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 _LOWEST = -(1 << 63)
+#: Bytes of text in a part, about.
+PART = 128 << 20
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, lead, doc_id, text) so dealt and sorted that each document is followed by the next one by doc_id.
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(part, lead, doc_id, text) so dealt and sorted that each document is followed by the next one by doc_id, an integer.
 
-    Documents are dealt by ranges of doc_id. The first of a part is also dealt, marked as lead, to the part before it,
-    where it comes last; the first of all to the last part. Only the bounds of the parts are gathered.
+    Documents are dealt by ranges of doc_id, to `parts` parts, or else to as many as the session shuffles to, and more
+    where these would have over PART bytes of text. The first of a part is also dealt, marked as lead, to the part before
+    it, where it comes last; the first of all to the last part. Only the bounds of the parts are gathered.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     ids = docs.select(key.alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    accuracy = max(10 * parts, min(100 * parts, 100_000))  # parts differ by a tenth at most
+    cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], accuracy)).first()[0] if parts > 1 else []
     splits = spark.sparkContext.broadcast(np.unique(np.array(cuts or [], np.int64)))
 
     @F.pandas_udf("int")
@@ -198,10 +208,10 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The next document is by ascending doc_id, a null doc_id first, rows of one doc_id by text; after the last comes the
     first, so that a single document is its own next. A null text counts as empty. An empty table gives no rows; other
-    columns of docs are not read. Texts are moved once, in ranges of doc_id.
+    columns of docs are not read. doc_id is an integer; another type raises TypeError. Texts are moved once, in ranges of
+    doc_id whose number grows with their bytes.
     """
     docs = lean(docs).select("doc_id", "text")
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:

@@ -172,6 +172,16 @@ def test_next_documents(spark, parts):
         assert (r["near_edited"], r["near_next"]) == (fingerprints.likeness(f, g), fingerprints.likeness(f, h))
 
 
+def test_parts_grow_with_the_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "some words %d" % i) for i in range(300)] + [(None, None)], "doc_id int, text string")
+    whole = sorted(fingerprints.fingerprint_edits(df).collect(), key=str)
+    monkeypatch.setattr(fingerprints, "PART", 100)
+    assert fingerprints.with_next(df).rdd.getNumPartitions() > 30
+    assert sorted(fingerprints.fingerprint_edits(df).collect(), key=str) == whole and len(whole) == 301
+    with pytest.raises(TypeError):
+        fingerprints.fingerprint_edits(df.withColumn("doc_id", df["text"]))
+
+
 def test_next_of_repeated_null_and_single_ids(spark):
     df = spark.createDataFrame([(None, "n"), (1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
     assert fingerprints.fingerprint_edits(df, 4).count() == 4
