@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,22 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def eased(run: Callable) -> Callable:
+    """run, a function of batches, after which a Python worker gives back the memory it doesn't need, as workers are used
+    again for other stages and would each hold the most that any stage took."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def space_words(text: bytes) -> list[bytes]:
     """Words between ASCII white space; A-Z become a-z, other bytes stay."""
     return text.lower().split()
@@ -76,6 +95,7 @@ def _bit(keys: np.ndarray) -> np.ndarray:
 def key_filter(keys: DataFrame):
     """A function of int64 arrays that is true where a key may be among those of the one column of keys. 8 MB at any size."""
 
+    @eased
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.unique(_bit(batch.column(0).to_numpy()))
@@ -95,6 +115,7 @@ def key_filter(keys: DataFrame):
 
 
 def filtered(df: DataFrame, column: str, may_have) -> DataFrame:
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(may_have(batch.column(column).to_numpy())))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import kept, lean, mix, raw
+from lodestone.llm.common import eased, kept, lean, mix, raw
 
 #: Template tokens in a window, and the fewest that an item must have to be looked for.
 WINDOW, LEAST = 8, 5
@@ -349,6 +349,7 @@ class Index:
 def _indexes(benchmark: DataFrame, key: str, block_tokens: int) -> Iterator[Index]:
     """Indexes of the items, block by block; a block has about `block_tokens` tokens."""
 
+    @eased
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(_TOKEN.findall(t or b"")) for t in raw(batch.column("text"))]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import components, dropped, filtered, kept, key_filter, lean, mix, raw, schema_of, signed, space_words
+from lodestone.llm.common import components, dropped, eased, filtered, kept, key_filter, lean, mix, raw, schema_of, signed, space_words
 from lodestone.sources.shared import settled
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -74,6 +74,7 @@ def bands(values: np.ndarray, n: int, rows: int) -> np.ndarray:
 
 
 def _sketched(k: int, n_bands: int, rows: int):
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, parts = [], [], []
@@ -93,6 +94,7 @@ def _sketched(k: int, n_bands: int, rows: int):
 def _sets(k: int, may_be_wanted):
     """(doc_id, _key, set) of the documents that may be wanted, by the hash _mark of doc_id."""
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(may_be_wanted(batch.column("_mark").to_numpy())))
@@ -116,6 +118,7 @@ PARITY = 8
 def _parities(sets: DataFrame) -> DataFrame:
     """(node, n, p): the set's size, and for each of 64 * PARITY slots of shingles whether it has an odd number of them."""
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.fromiter((len(x) for x in batch.column("set")), np.int64, batch.num_rows)
@@ -168,6 +171,7 @@ def _rare(sets: DataFrame, percent: int) -> DataFrame:
     cannot miss all of. The order is by how often the sets have them, rarest first, as counted in 2**20 slots. A set whose
     first common shingle stands in this place can have `most` shingles at most, as those before it are not shared."""
 
+    @eased
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 20, np.int64)
         for batch in batches:
@@ -180,6 +184,7 @@ def _rare(sets: DataFrame, percent: int) -> DataFrame:
     often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     given = sets.sparkSession.sparkContext.broadcast(often)
 
+    @eased
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes, sizes, largest = [], [], [], []

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import kept, lean, schema_of
+from lodestone.llm.common import eased, kept, lean, schema_of
 
 #: Longer texts are tokenized part by part, cut where the tokenizer's pattern always splits.
 PART = 1 << 21
@@ -124,6 +124,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
 
 
 def _tokenized(capacity: int, end_id: int, vocabulary: str, with_ids: bool) -> Callable:
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, block, seen = byte_bpe(vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -170,6 +171,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str
         starts = F.broadcast(starts)
     ranked = parts.join(starts, ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
 
+    @eased
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, ranks = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()

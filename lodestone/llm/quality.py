@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import lean, raw, schema_of
+from lodestone.llm.common import eased, lean, raw, schema_of
 
 NAMES = (
     "log_bytes upper lower digit space newline high sentence_marks pipes brackets other_marks control "
@@ -179,6 +179,7 @@ def scored(docs: DataFrame, model: Model | None, to: str = "quality_score") -> D
     given = lean(docs).sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if given.value is None:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import filtered, kept, key_filter, lean, mix, raw, schema_of, signed
+from lodestone.llm.common import eased, filtered, kept, key_filter, lean, mix, raw, schema_of, signed
 from lodestone.sources.shared import settled
 
 GRAM = 32
@@ -195,6 +195,7 @@ def _sliding(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
 
 
 def _anchored(length: int):
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at, gram, own, before, behind = [], [], [], [], [], []
@@ -222,6 +223,7 @@ def _anchored(length: int):
 def _contexts(length: int):
     """(gram, own, before, context) of each place wanted of a document."""
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -241,6 +243,7 @@ def _spanned(length: int):
         for batch in batches:
             yield from zip(*(batch.column(c).to_pylist() for c in ("block", "gram", "own", "before", "context")))
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, group in groupby(rows(batches), lambda x: x[0]):
@@ -263,6 +266,7 @@ def _halves(length: int):
     contexts share all bytes that these have in common; one of the two has the lower half of that range, one the upper."""
     rest = length - GRAM
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, blocks, least, most = [], [], [], []
@@ -389,6 +393,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     hit = filtered(docs, "_text", may_have)
     hit = hit.join(spans, _same(hit, spans)).select("doc_id", "text", "spans")
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -412,6 +417,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     same = hit["doc_id"].eqNullSafe(spans["_id"]) & (hit[_HASH] == spans["_key"])
     joined = hit.join(spans, same, "left").select(*(hit[c] for c in docs.columns), spans["spans"].alias(_SPANS))
 
+    @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
