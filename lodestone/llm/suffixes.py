@@ -2,7 +2,8 @@
 
 1. Anchors. Of the 32-byte strings inside a window of `length` bytes the one with the smallest hash, the last on a tie, is
    its anchor. Equal windows have equal anchors at equal offsets, so every repeated window is seen among the occurrences
-   of one anchor, each with its context: the bytes of the windows that have it as their anchor.
+   of one anchor, each with its context: the bytes of the windows that have it as their anchor. An anchor that a document
+   has several times with one context, as in a line that is repeated on and on, is one row with all its places.
 2. Anchors seen once are dropped. Where all contexts of an anchor are equal, they are repeated as a whole.
 3. The distinct contexts of each other anchor are cut to what they can share, their common core becomes one symbol, and a
    generalised suffix array of them gives the longest match of every suffix. It is built by Lyndon grouping: groups of
@@ -195,26 +196,35 @@ def _sliding(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
 
 
 def _anchored(length: int):
+    """Rows of the anchors of each document, one for each anchor and context: `at` is its first place, `more` has the others."""
+
     @eased
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, gram, own, before, behind = [], [], [], [], [], []
+            rows, at, more, gram, own, before, behind = [], [], [], [], [], [], []
             for i, text in enumerate(raw(batch.column("text"))):
                 if not text or len(text) < length:
                     continue
                 p, h, lo, hi = anchors(np.frombuffer(text, np.uint8), length)
-                rows.append(np.full(len(p), i))
-                at.append(p)
-                gram.append(h)
-                before.append(p - lo)
-                behind.append(hi - p)
-                own += [xxhash.xxh3_64_intdigest(text[a:b], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (p - lo).tolist())]
+                context = np.array([xxhash.xxh3_64_intdigest(text[a:b], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (p - lo).tolist())], np.uint64)
+                order = np.lexsort((p, context, h))
+                p, h, lo, hi, context = (x[order] for x in (p, h, lo, hi, context))
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (context[1:] != context[:-1]))))
+                last = np.append(first[1:], len(p))
+                rows.append(np.full(len(first), i))
+                at.append(p[first])
+                more += [p[a + 1 : b].tolist() if b - a > 1 else None for a, b in zip(first.tolist(), last.tolist())]
+                gram.append(h[first])
+                before.append((p - lo)[first])
+                behind.append((hi - p)[first])
+                own.append(context[first])
             if not rows:
                 continue
             take = pa.array(np.concatenate(rows))
+            at, before, behind, gram = (pa.array(np.concatenate(x).astype(t)) for x, t in ((at, np.int64), (before, np.int32), (behind, np.int32), (gram, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("_text").take(take), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((at, np.int64), (before, np.int32), (behind, np.int32), (gram, np.int64))), pa.array(signed(np.array(own, np.uint64)))],
-                ["doc_id", "_text", "at", "before", "behind", "gram", "own"],
+                [batch.column("doc_id").take(take), batch.column("_text").take(take), at, pa.array(more, pa.list_(pa.int64())), before, behind, gram, pa.array(signed(np.concatenate(own)))],
+                ["doc_id", "_text", "at", "more", "before", "behind", "gram", "own"],
             )
 
     return run
@@ -338,17 +348,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     docs = _keyed(lean(docs))
-    schema = schema_of(docs, "_text long, at long, before int, behind int, gram long, own long")
+    schema = schema_of(docs, "_text long, at long, more array<long>, before int, behind int, gram long, own long")
     found = kept(docs.mapInArrow(_anchored(length), schema))
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    times = F.sum(F.coalesce(F.array_size("more") + 1, F.lit(1))).alias("n")
+    twice = found.groupBy("gram").agg(times).where("n > 1").select("gram")
     near = kept(filtered(found, "gram", key_filter(twice)))
-    kinds = kept(near.groupBy("gram").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))  # a table of its own, so that a join on it can split hot grams
+    kinds = kept(near.groupBy("gram").agg(times, F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))  # a table of its own, so that a join on it can split hot grams
     near = kept(near.join(kinds, "gram"))
-    whole = (F.col("at") - F.col("before")).alias("lo"), (F.col("at") + F.col("behind")).alias("hi")
-    alike = near.where(~F.col("mixed")).select("doc_id", "_text", F.array(F.struct(*whole)).alias("spans"))
+    places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<long>")))
+    whole = F.transform(places, lambda p: F.struct((p - F.col("before")).alias("lo"), (p + F.col("behind")).alias("hi")))
+    alike = near.where(~F.col("mixed")).select("doc_id", "_text", whole.alias("spans"))
     mixed = near.where("mixed").drop("mixed")
     first = F.min(F.struct("doc_id", "_text", "at", "before", "behind")).alias("f")
-    owns = kept(mixed.groupBy("gram", "own").agg(F.count("*").alias("n"), first))
+    owns = kept(mixed.groupBy("gram", "own").agg(times, first))
     wanted = owns.groupBy(F.col("f.doc_id").alias("_id"), F.col("f._text").alias("_key")).agg(F.collect_list(F.struct("gram", "own", "f.at", "f.before", "f.behind")).alias("wanted"))
     wanted = kept(wanted)
     texts = filtered(docs, "_text", key_filter(wanted.select("_key")))
@@ -358,9 +370,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     spans = _settled_spans(contexts, many, length, hot)
     copies = owns.where("n > 1").select("gram", "own", F.lit(0).alias("lo"), (F.col("f.before") + F.col("f.behind")).alias("hi"))
     spans = kept(spans.union(copies).groupBy("gram", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("spans", _joined(F.col("spans"))))
-    # spans stay in arrays, one for each occurrence of an anchor, until they are a document's
-    base = F.col("at") - F.col("before")
-    shifted = F.transform("spans", lambda x: F.struct((base + x["lo"]).alias("lo"), (base + x["hi"]).alias("hi")))
+    # spans stay in arrays, one for each anchor and context of a document, until they are the document's
+    shifted = F.flatten(F.transform(places, lambda p: F.transform("spans", lambda x: F.struct((p - F.col("before") + x["lo"]).alias("lo"), (p - F.col("before") + x["hi"]).alias("hi")))))
     apart = mixed.join(spans, ["gram", "own"]).select("doc_id", "_text", shifted.alias("spans"))
     both = alike.union(apart).groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"))
     return both.agg(F.flatten(F.collect_set("spans")).alias("spans"))

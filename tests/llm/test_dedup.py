@@ -162,3 +162,17 @@ def test_equal_rows_are_copies(spark):
     df = spark.createDataFrame([(7, text), (7, text), (None, text[:100])], "doc_id long, text string")
     rows = suffixes.remove_repeats(df).collect()
     assert sorted((r["n_bytes"], r["n_removed"]) for r in rows) == [(100, 0), (250, 250), (250, 250)]
+
+
+def test_a_line_repeated_on_and_on_is_a_row_for_each_context(spark):
+    """Rows grow with a document's distinct contexts, not with how often it has them."""
+    line = "".join(random.Random(5).choices("abcdefghij ", k=70)) + "\n"
+    texts = [f"{i} start{i * 7919}\n" + line * (5 + i % 40) + f"end{i * 104729}" for i in range(30)] + [line * 50, line * 3, "short", None]
+    docs = suffixes._keyed(frame(spark, texts))
+    schema = common.schema_of(docs, "_text long, at long, more array<long>, before int, behind int, gram long, own long")
+    found = docs.mapInArrow(suffixes._anchored(100), schema).cache()
+    places = sum(len(suffixes.anchors(np.frombuffer((t or "").encode(), np.uint8), 100)[0]) for t in texts)
+    assert found.agg(F.sum(F.coalesce(F.array_size("more") + 1, F.lit(1)))).first()[0] == places > 2 * found.count()
+    assert found.groupBy("doc_id", "gram", "own").count().where("count > 1").isEmpty()
+    want = plain_repeats(texts, 100)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(frame(spark, texts), 100).collect()} == want
