@@ -281,3 +281,43 @@ def test_per_source_sweeps_find_what_single_decisions_find(spark):
     fast = decide.tune_threshold(df, counts, per_source=True, grid=grid)
     slow = decide.tune_threshold(df, counts, per_source=True, grid=grid, max_per_s1=10**6)
     assert fast[0] == slow[0] and fast[1] == pytest.approx(slow[1])
+
+
+def test_labels_by_keys_are_those_of_all_links(spark):
+    """Without a row for each link: copies of one text on both sides make as many rows as there are pairs."""
+    text = lambda i: ("Acme", "same") if i < 40 else (f"N{i % 7}", "other" if i % 2 else "x")
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", *text(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string")
+    s1, tg = df.where("source = 'S1'"), df.where("source <> 'S1'")
+    pairs = s1.select(F.col("entity_id").alias("s1_id")).crossJoin(tg.select(F.col("entity_id").alias("tgt_id"), "source")).where("hash(s1_id, tgt_id) % 3 = 0")
+    truth = records.links(s1, tg)
+    want = links.labelled(pairs, truth)
+    keyed = [x.withColumn("text_key", records._text_key()).drop("business_name", "business_address") for x in (s1, tg)]
+    for a, b in ((s1, tg), keyed):
+        got = records.labelled(pairs, a, b)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.where("label = 1").count() > 10
+        lists = {r["s1_id"]: sorted(r["ids"]) for r in records.true_lists(a.select("entity_id", *(c for c in a.columns if c in ("business_name", "business_address", "text_key"))), b).collect()}
+        assert sum(map(len, lists.values())) == truth.count() and len(lists) == s1.count()
+        assert sorted((k, x) for k, v in lists.items() for x in v) == sorted(map(tuple, truth.collect()))
+
+
+def test_queries_make_no_row_for_each_link(monkeypatch):
+    """Only what returns the links themselves makes them."""
+    from lodestone.plans import queries
+
+    class Reached(Exception):
+        pass
+
+    def made(*_):
+        raise AssertionError("links are made")
+
+    def labelled(*_):
+        raise Reached
+
+    monkeypatch.setattr(queries.R, "links", made)
+    monkeypatch.setattr(queries.R, "labelled", labelled)
+    monkeypatch.setattr(queries.R, "records", lambda *_: (None, None))
+    monkeypatch.setattr(queries, "_pairs", lambda *_: None)
+    for name in ("entity_f05_lists", "macro_f05_lists", "matching_lists", "decide_one_to_one", "macro_f05", "match_rate", "per_s1_details", "candidate_recall", "decide_per_source_capped", "macro_f05_by_country"):
+        with pytest.raises(Reached):
+            queries.QUERIES[name](None, "")
