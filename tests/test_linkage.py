@@ -321,3 +321,25 @@ def test_queries_make_no_row_for_each_link(monkeypatch):
     for name in ("entity_f05_lists", "macro_f05_lists", "matching_lists", "decide_one_to_one", "macro_f05", "match_rate", "per_s1_details", "candidate_recall", "decide_per_source_capped", "macro_f05_by_country"):
         with pytest.raises(Reached):
             queries.QUERIES[name](None, "")
+
+
+def test_features_are_made_in_rounds(spark, monkeypatch):
+    """With few bytes a round, too: no shuffle has the texts of all pairs, and features and their order are the same."""
+    (a, b, c), _ = frames(spark)
+    targets = b.withColumn("source", F.lit("S2")).unionByName(c.withColumn("source", F.lit("S3")))
+    pairs = blocking.generate_candidates(a, targets, 3)
+    groups, sizes, plain = ["tokens", "tfidf", "numbers", "structure", "blockers", "rank"], [], features.compared
+    whole, names = features.build_features(pairs, a, targets, groups)
+    assert whole.columns == [*pairs.columns, *(n for n in names if n not in pairs.columns)]
+
+    def compared(pairs, s1, targets, columns, make):
+        def counted(both):
+            sizes.append(both.count())
+            return make(both)
+
+        return plain(pairs, s1, targets, columns, counted, size=2000)
+
+    monkeypatch.setattr(features, "compared", compared)
+    some, own = features.build_features(pairs, a, targets, groups)
+    assert own == names and some.columns == whole.columns and sorted(some.collect(), key=str) == sorted(whole.collect(), key=str)
+    assert len(sizes) > 1 and sum(sizes) == pairs.count() and max(sizes) < sum(sizes)
