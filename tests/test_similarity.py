@@ -1,4 +1,5 @@
 import random
+import time
 
 import duckdb
 import pytest
@@ -77,3 +78,25 @@ def test_partial_ratio_of_long_strings_tries_every_window():
         short, long = sorted((a, b), key=len)
         parts = [long[max(s, 0) : s + len(short)] for s in range(1 - len(short), len(long))]
         assert S.partial_ratio(a, b) == max(S.ratio(short, p) for p in parts)
+
+
+def test_common_of_long_texts():
+    """Equal to the table of a loop, over several times the characters between two cuts; characters that one text lacks cost little."""
+    rng = random.Random(6)
+
+    for n, m in ((300, 200), (63, 65), (64, 128), (0, 130), (130, 0), (5, 400)):
+        for alphabet in ("a", "ab", "abcdé "):
+            a, b = ("".join(rng.choice(alphabet + extra) for _ in range(k)) for k, extra in ((n, ""), (m, "xyz")))
+            assert S._common(len(a), S._masks(a), b) == subsequence(a, b)
+
+    masks = S._masks("ab" * 4000)
+
+    def least(b):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            S._common(8000, masks, b)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert 3 * least("xy" * 2000) < least("ab" * 2000)
